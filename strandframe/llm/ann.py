@@ -32,7 +32,8 @@ from .common import Staging, need
 SAMPLE, CALIBRATED, SEED = 40_000, 192, 11
 #: Vectors for each leaf, children of a node, and the most leaves.
 LEAF_VECTORS, BRANCHES, MOST_LEAVES = 640, 8, 1024
-LEAF_ROWS = 20_000
+#: Neighbouring leaves are searched together in so many buckets, and a bucket in parts of so many vectors.
+BUCKETS, PART_ROWS = 12, 20_000
 SLACK = 1e-9
 
 
@@ -198,40 +199,60 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
     asked = indexed.filter(queries)
     visits = _calibrate(indexed, asked, tree, k, recall)
 
-    sizes = dict(indexed.groupBy("leaf").count().collect())  # a row for each leaf
-    parts = {leaf: -(-n // LEAF_ROWS) for leaf, n in sizes.items()}
+    bucket_of = [leaf * BUCKETS // tree.leaves for leaf in range(tree.leaves)]
+    bucket = F.floor(F.col("leaf") * BUCKETS / tree.leaves).cast("int")
+    sizes = dict(indexed.groupBy(bucket.alias("bucket")).count().collect())  # at most BUCKETS rows
+    parts = {b: -(-n // PART_ROWS) for b, n in sizes.items()}
     parts_of = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            points = matrix(b.column(1))
-            rows_, leaves, part = [], [], []
-            for i, q in enumerate(points):
+            rows_, buckets, part, leaves = [], [], [], []
+            for i, q in enumerate(matrix(b.column(1))):
+                wanted: dict[int, list[int]] = {}
                 for leaf in tree.visit(q, visits):
-                    n = parts.get(leaf, 0)
+                    wanted.setdefault(bucket_of[leaf], []).append(leaf)
+                for own, found in wanted.items():
+                    n = parts.get(own, 0)
                     rows_ += [i] * n
-                    leaves += [leaf] * n
+                    buckets += [own] * n
                     part += range(n)
+                    leaves += [found] * n
             take = pa.array(rows_, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(leaves, pa.int32()), pa.array(part, pa.int32())], names=["vec_id", "v", "leaf", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(buckets, pa.int32()), pa.array(part, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "v", "bucket", "part", "leaves"]
+            )
 
-    routed = asked.select("vec_id", "v").mapInArrow(route, f"vec_id long, v {kind}, leaf int, part int")
-    dealt = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce(parts_of[F.col("leaf")], F.lit(1))).cast("int"))
+    routed = asked.select("vec_id", "v").mapInArrow(route, f"vec_id long, v {kind}, bucket int, part int, leaves array<int>")
+    dealt = indexed.withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64("vec_id"), parts_of[F.col("bucket")]).cast("int"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The k best of each query over the leaves that it visits here."""
         if not left.num_rows or not right.num_rows:
-            return _batch_table([])
-        found = best(matrix(left.column("v")), left.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy(), k)
-        return _batch_table(list(found))
-
-    pairs = routed.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInArrow(compare, FOUND)
+            return pa.Table.from_batches([_batch([])])
+        ids, points, owners, leaf = right.column("vec_id").to_numpy(), matrix(right.column("v")), left.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
+        asks, visited = matrix(left.column("v")), left.column("leaves").to_pylist()
+        by_leaf: dict[int, list[int]] = {}
+        for i, found in enumerate(visited):
+            for x in found:
+                by_leaf.setdefault(x, []).append(i)
+        kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for x, askers in by_leaf.items():
+            here = np.flatnonzero(leaf == x)
+            if len(here):
+                for q, near, scores in best(asks[askers], owners[askers], points[here], ids[here], k):
+                    kept.setdefault(q, []).append((near, scores))
+        out = []
+        for q, found in kept.items():
+            near, scores = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+            order = np.lexsort((near, -scores))[:k]
+            out.append((q, near[order], scores[order]))
+        return pa.Table.from_batches([_batch(out)])
+
+    pairs = routed.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(compare, FOUND)
     return _merge(pairs, k)
 
 
-def _batch_table(rows: list) -> pa.Table:
-    return pa.Table.from_batches([_batch(rows)])
-
-
 def _calibrate(indexed: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """Leaves to visit so that a sample of the queries finds the share recall of its true neighbours."""
     count = asked.count()
