@@ -6,6 +6,7 @@ re-read and not a recomputation. Only where that setting is absent (tests, a lap
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,19 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, besides their own path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
+
+
 class Staging:
     """Written tables of one operator call. ``drop`` removes a table that a later one has replaced; the rest go when the JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.root = f"{staging_root(spark)}/strandframe-{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -68,6 +78,7 @@ def need(df: DataFrame, *names: str) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Batches of whole texts hold few rows, so that a run of very long texts does not fill a worker's memory."""
+    importable(spark)
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS)),):
         if spark.conf.get(key, None) in (None, "10000"):
             spark.conf.set(key, value)
