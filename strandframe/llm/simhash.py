@@ -14,7 +14,10 @@ fingerprints are compared by quarters of 16 bits, of which two that differ in 3
 
 ``groups`` serves larger distances too (a similarity of word shingles of 0.8 is about 20 of 128 bits): there the
 anchors are points of random coordinate subspaces, each a covering code of radius 0 on its own coordinates, enough of
-them to find PROJECTED pairs of that distance with high probability.
+them that most pairs of that distance meet. Fingerprints only propose pairs there; each link is counted on the two
+sets of shingles. A first round counts two pairs of every fingerprint, the nearest and one picked by a hash, which
+ties a family of copies together without all its pairs; a second one counts every proposed pair whose ends are still
+apart. A pair that never meets at an anchor is missed, a pair below the similarity is never linked.
 
 Nulls and empty texts: no shingle, fingerprint zero, linked like any other. A null doc_id takes part and is never the
 smallest; a component of null ids only has a null component_id. Repeated rows count once each. Empty tables give empty
@@ -23,7 +26,7 @@ results. Extra columns are ignored. Very long texts are hashed in parts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,14 +45,19 @@ BLOCK, INFO, RADIUS = 23, 12, 3
 #: Shingles hashed at a time, and rows at one anchor that are compared by shifts.
 PART, SHIFTED = 1 << 16, 3000
 #: Random projections for larger distances: their number and bits.
-PROJECTIONS, PROJECTED_BITS = 36, 16
+PROJECTIONS, PROJECTED_BITS = 64, 16
+#: Sets are pairs of these: distinct shingles by 32 bits of their hash.
+SET = np.dtype("<u4")
 
 
-def shingle_bits(text: bytes, words: int, wide: bool = False) -> np.ndarray:
-    """The fingerprint of a text as 1 (64 bits) or 2 (128 bits) unsigned numbers."""
+def shingle_bits(text: bytes, words: int, wide: bool = False, kept: list[np.ndarray] | None = None) -> np.ndarray:
+    """The fingerprint of a text as 1 (64 bits) or 2 (128 bits) unsigned numbers; kept gains its distinct shingles."""
     lanes = 2 if wide else 1
     tokens = text.lower().split()
+    found: list[np.ndarray] = []
     if not tokens:
+        if kept is not None:
+            kept.append(np.zeros(0, SET))
         return np.zeros(lanes, np.uint64)
     n = max(1, len(tokens) - words + 1)
     total = np.zeros(64 * lanes, np.int64)
@@ -70,21 +78,39 @@ def shingle_bits(text: bytes, words: int, wide: bool = False) -> np.ndarray:
         hashes = [np.array([digest(s, seed) for s in shingles], np.uint64) for seed in (SEED, SEED + 1)[:lanes]]
         bits = np.unpackbits(np.stack(hashes, axis=1).view(np.uint8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
+        if kept is not None:
+            found.append(np.unique(hashes[0].astype(SET)))
+    if kept is not None:
+        kept.append(np.unique(np.concatenate(found)))
     return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id and fingerprint: fp (long, the 64 bits), for wide ones also fp2."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp (long, the 64 bits)."""
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
-    names = ["fp", "fp2"] if wide else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            found = np.stack([shingle_bits(t, words, wide) for t in texts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(found[:, k].copy()) for k in range(len(names)))], names=["doc_id", *names])
+            found = np.concatenate([shingle_bits(t, words) for t in texts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp and fp2 (the 128 bits) and shingles (binary: the distinct ones, ascending)."""
+    need(docs, "doc_id", "text")
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            kept: list[np.ndarray] = []
+            found = np.stack([shingle_bits(t, words, True, kept) for t in texts]).view(np.int64)
+            columns = [batch.column(0).cast(pa.int64()), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array([k.tobytes() for k in kept], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "fp2", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, shingles binary")
 
 
 @lru_cache
@@ -216,16 +242,15 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, at_once: int = 1
         yield pa.Table.from_batches(held)
 
 
-def _links(dealt: DataFrame, lanes: list[str], distance: int, has_over: bool) -> DataFrame:
-    """dealt: anchor, node, lanes[, over]. Links (a, b) of nodes: a spanning forest for each anchor."""
+def _links(dealt: DataFrame, distance: int) -> DataFrame:
+    """dealt: anchor, node, fp, over. Links (a, b) of nodes: a spanning forest for each anchor."""
     spark = dealt.sparkSession
     spread = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "anchor"):
-            values = np.stack([table.column(c).to_numpy() for c in lanes], axis=1).view(np.uint64)
-            over = table.column("over").to_numpy().astype(np.int64) if has_over else None
-            forest = compare(table.column("anchor").to_numpy(), values, over, distance)
+            values = table.column("fp").to_numpy().view(np.uint64)[:, None]
+            forest = compare(table.column("anchor").to_numpy(), values, table.column("over").to_numpy().astype(np.int64), distance)
             hung = np.flatnonzero(forest.parent != np.arange(len(values)))
             node = table.column("node").to_numpy()
             pairs = np.unique(np.stack([node[hung], node[forest.parent[hung]]], axis=1), axis=0)
@@ -234,26 +259,40 @@ def _links(dealt: DataFrame, lanes: list[str], distance: int, has_over: bool) ->
     return spread.mapInArrow(run, "a long, b long")
 
 
-def _deal(nodes: DataFrame, lanes: list[str], spread: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """Replicates rows (node, lanes) to their anchors."""
-    has_over = len(lanes) == 1
+def _deal(nodes: DataFrame) -> DataFrame:
+    """Replicates rows (node, fp) to their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                values = np.stack([part.column(1 + k).to_numpy() for k in range(len(lanes))], axis=1).view(np.uint64)
-                rows, name, over = spread(values)
+                rows, name, over = anchors(part.column(1).to_numpy().view(np.uint64), 2)
                 take = pa.array(rows)
-                columns = [pa.array(name), part.column(0).take(take), *(part.column(1 + k).take(take) for k in range(len(lanes)))]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(over.astype(np.int8))] if has_over else []), names=["anchor", "node", *lanes, *["over"] * has_over])
+                columns = [pa.array(name), part.column(0).take(take), part.column(1).take(take), pa.array(over.astype(np.int8))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "node", "fp", "over"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "anchor long, node long, fp long, over byte")
 
-    schema = "anchor long, node long, " + ", ".join(f"{x} long" for x in lanes) + ", over byte" * has_over
-    return nodes.select("node", *lanes).mapInArrow(run, schema)
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id; fingerprints link at 3 or fewer differing bits."""
+    staging = Staging(docs.sparkSession, "simhash")
+    marked = staging.write(fingerprints(docs, words), "fingerprints")
+    # a fingerprint's own name: the 64 bits themselves
+    distinct = staging.write(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.col("fp").alias("node")), "distinct")
+    named = _named(distinct, _links(_deal(distinct), 3), staging)
+    out = marked.join(named.select("fp", "component_id"), "fp")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def by_code(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return anchors(values[:, 0], 2)
+def _named(distinct: DataFrame, links: DataFrame, staging: Staging) -> DataFrame:
+    """distinct (node, least, others) with component_id, the smallest doc_id linked through any chain."""
+    roots = components(links, staging)
+    # of what has links, the smallest doc_id of every root
+    named = roots.join(distinct.select("node", "least"), "node")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = named.join(smallest, "root").select("node", "component_id")
+    return distinct.join(linked, "node", "left").withColumn("component_id", F.coalesce("component_id", "least"))
 
 
 @lru_cache
@@ -263,45 +302,120 @@ def coordinates() -> np.ndarray:
     return np.stack([rng.choice(128, PROJECTED_BITS, replace=False) for _ in range(PROJECTIONS)])
 
 
-def by_projection(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
-    bits = np.unpackbits(values.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-    weight = 1 << np.arange(PROJECTED_BITS)
+def by_projection(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of every row (n, 2) in every projection: row, anchor."""
+    bits = np.unpackbits(values.view(np.uint8), axis=1, bitorder="little").astype(np.int32)
+    weight = (1 << np.arange(PROJECTED_BITS)).astype(np.int32)
     names = np.stack([bits[:, c] @ weight + (k << PROJECTED_BITS) for k, c in enumerate(coordinates())], axis=1)
-    return np.repeat(np.arange(len(values)), PROJECTIONS), names.ravel(), None
-
-
-def _solve(marked: DataFrame, lanes: list[str], distance: int, staging: Staging) -> DataFrame:
-    """marked: doc_id and lanes. Adds component_id, the smallest doc_id linked through any chain."""
-    marked = staging.write(marked, "fingerprints")
-    distinct = marked.groupBy(*lanes).agg(F.min("doc_id").alias("least"))
-    # a fingerprint's own name: the 64 bits themselves, or a hash of the wider ones
-    distinct = distinct.select(*lanes, "least", (F.col("fp") if len(lanes) == 1 else F.xxhash64(*lanes)).alias("node"))
-    distinct = staging.write(distinct, "distinct")
-    dealt = _deal(distinct, lanes, by_code if len(lanes) == 1 else by_projection)
-    links = _links(dealt, lanes, distance, len(lanes) == 1)
-    roots = components(links, staging)
-    # of what has links, the smallest doc_id of every root
-    named = roots.join(distinct.select("node", "least"), "node")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(smallest, "root").select("node", "component_id")
-    named = distinct.join(linked, "node", "left").select(*lanes, F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, lanes)
+    return np.repeat(np.arange(len(values)), PROJECTIONS), names.ravel().astype(np.int32)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id; fingerprints link at 3 or fewer differing bits."""
-    staging = Staging(docs.sparkSession, "simhash")
-    out = _solve(fingerprints(docs, words), ["fp"], 3, staging)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+def _pick(values: np.ndarray) -> np.ndarray:
+    """A hash of each row (n, lanes) of unsigned numbers."""
+    x = values[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ values[:, 1]
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def close_pairs(groups: np.ndarray, values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j, differing bits) of one group (sorted) that differ in at most distance bits, one shift of the rows at a time."""
+    n = len(groups)
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, np.int64)
+    ends = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    rows, shift = np.arange(n), 1
+    while len(rows := rows[rows + shift < ends[rows]]):
+        differ = np.bitwise_count(values[rows] ^ values[rows + shift]).sum(axis=1)
+        close = differ <= distance
+        if close.any():
+            yield rows[close], rows[close] + shift, differ[close].astype(np.int64)
+        shift += 1
 
 
-def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.5) -> DataFrame:
-    """doc_id and component_id of documents whose word shingles are about as similar (Jaccard) as asked.
+def _proposed(nodes: DataFrame, distance: int, every: bool) -> DataFrame:
+    """nodes: fp, fp2, root. Pairs (a, b, differ, pick) of close nodes with different roots: for each node at each
+    anchor the nearest and one by a hash, or every pair."""
+    spark = nodes.sparkSession
 
-    128-bit fingerprints link at the expected distance of that similarity plus slack deviations: sets of Jaccard
-    similarity s have a cosine of 2s / (1 + s), and each bit differs with the probability of its angle over pi.
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                rows, name = by_projection(np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(name), *(part.column(k).take(pa.array(rows)) for k in range(3))], names=["anchor", "fp", "fp2", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, "anchor"):
+            values = np.stack([table.column("fp").to_numpy(), table.column("fp2").to_numpy()], axis=1)
+            bits, root = values.view(np.uint64), table.column("root").to_numpy()
+
+            def batch(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+                # both ends of a pair see the same hash, whichever comes first
+                pick = _pick(bits[i] ^ bits[j]).view(np.int64)
+                return pa.RecordBatch.from_arrays([*(pa.array(values[r, k].copy()) for r in (i, j) for k in (0, 1)), pa.array(differ), pa.array(pick)], names=["a1", "a2", "b1", "b2", "differ", "pick"])
+
+            none = np.uint64(2**64 - 1)
+            nearest, picked = np.full(len(root), none), np.full(len(root), none)
+            for i, j, differ in close_pairs(table.column("anchor").to_numpy(), bits, distance):
+                apart = root[i] != root[j]
+                i, j, differ = i[apart], j[apart], differ[apart]
+                if every:
+                    yield batch(i, j, differ)
+                    continue
+                chance = _pick(bits[i] ^ bits[j]) >> np.uint64(32) << np.uint64(32)
+                for x, y in ((i, j), (j, i)):
+                    nearest[x] = np.minimum(nearest[x], differ.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
+                    picked[x] = np.minimum(picked[x], chance | y.astype(np.uint64))
+            for best in (nearest, picked):
+                i = np.flatnonzero(best != none)
+                j = (best[i] & np.uint64(2**32 - 1)).astype(np.int64)
+                yield batch(i, j, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64))
+
+    dealt = nodes.select("fp", "fp2", "root").mapInArrow(deal, "anchor int, fp long, fp2 long, root long")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
+    pairs = dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, differ long, pick long")
+    return pairs.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"), "differ", "pick")
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with their sets' similarity (Jaccard) of at least similarity; sets: node, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), SET) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 2.2) -> DataFrame:
+    """doc_id and component_id of documents linked by a similarity (Jaccard) of their distinct word shingles as asked.
+
+    128-bit fingerprints propose pairs within the expected distance of that similarity plus slack deviations: sets of
+    Jaccard similarity s have a cosine of 2s / (1 + s), and each bit differs with the probability of its angle over pi.
     """
     chance = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     distance = int(128 * chance + slack * np.sqrt(128 * chance * (1 - chance)))
     staging = Staging(docs.sparkSession, "simhash")
-    return _solve(fingerprints(docs, words, wide=True), ["fp", "fp2"], distance, staging).select("doc_id", "component_id")
+    marked = staging.write(shingle_sets(docs, words).withColumn("node", F.xxhash64("fp", "fp2")), "fingerprints")
+    distinct = staging.write(marked.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least")), "distinct")
+    both = staging.write(_proposed(distinct.withColumn("root", F.col("node")), distance, False), "proposed")
+    ends = both.select(F.col("a").alias("node"), "differ", "pick", F.col("b").alias("other"))
+    best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
+    first = best.select(F.col("node").alias("a"), F.explode(F.array("near", "some")).alias("b"))
+    first = staging.write(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # only what has a partner is compared any further; of equal fingerprints one set stands for all
+    active = best.select("node")
+    sets = staging.write(marked.select("node", "shingles").join(active, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    links = staging.write(_counted(first, sets, similarity), "links")
+    roots = components(links, staging)
+    apart = distinct.join(active, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _proposed(apart, distance, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = staging.write(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = staging.write(links.union(_counted(rest, sets, similarity)), "links")
+    named = _named(distinct, links, staging)
+    return marked.select("doc_id", "node").join(named.select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -115,6 +115,40 @@ def test_simhash(docs, empty):
     assert len({grouped[i] for i, t in texts_by_id().items() if i is not None and t.startswith("w") and len(t) > 500 and t.count(" ") in (199, 200)}) == 1
 
 
+def jaccard_classes(texts: list[str], words: int, similarity: float) -> list[int]:
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if texts[i] == texts[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_groups_count_their_links(spark):
+    rng = random.Random(5)
+    words, texts = [f"w{i}" for i in range(500)], ["", " "]
+    for family in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for _ in range(60 if family == 0 else rng.randint(1, 4)):
+            own = list(base)
+            for _ in range(max(1, int(len(own) * (0.01 if family == 0 else rng.choice([0.005, 0.01, 0.03, 0.06]))))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    texts += texts[2:20]
+    want = jaccard_classes(texts, 5, 0.8)
+    got = [c for _, c in sorted(map(tuple, simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()))]
+    # nothing below the similarity is linked; what the anchors miss is little
+    assert len(set(zip(got, want, strict=True))) == len(set(got))
+    assert len(set(want)) <= len(set(got)) <= 1.05 * len(set(want)) and got[2:62] == [2] * 60
+    # many rows at one anchor propose few pairs a row
+    assert len(set(want)) > 40
+
+
 def test_every_pair_within_three_bits_meets_at_an_anchor():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 63, 300, np.uint64)
