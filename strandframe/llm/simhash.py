@@ -332,21 +332,22 @@ def close_pairs(groups: np.ndarray, values: np.ndarray, distance: int) -> Iterat
 
 
 def _proposed(nodes: DataFrame, distance: int, every: bool) -> DataFrame:
-    """nodes: fp, fp2, root. Pairs (a, b, differ, pick) of close nodes with different roots: for each node at each
-    anchor the nearest and one by a hash, or every pair."""
+    """nodes: fp, fp2[, root]. Pairs (a, b, differ, pick) of close nodes, with different roots if nodes have any: for
+    each node at each anchor the nearest and one by a hash, or every pair."""
     spark = nodes.sparkSession
+    names = ["fp", "fp2"] + ["root"] * ("root" in nodes.columns)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 rows, name = by_projection(np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(name), *(part.column(k).take(pa.array(rows)) for k in range(3))], names=["anchor", "fp", "fp2", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(name), *(part.column(k).take(pa.array(rows)) for k in range(len(names)))], names=["anchor", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "anchor"):
             values = np.stack([table.column("fp").to_numpy(), table.column("fp2").to_numpy()], axis=1)
-            bits, root = values.view(np.uint64), table.column("root").to_numpy()
+            bits, root = values.view(np.uint64), table.column("root").to_numpy() if "root" in names else np.arange(len(values))
 
             def batch(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
                 # both ends of a pair see the same hash, whichever comes first
@@ -370,7 +371,7 @@ def _proposed(nodes: DataFrame, distance: int, every: bool) -> DataFrame:
                 j = (best[i] & np.uint64(2**32 - 1)).astype(np.int64)
                 yield batch(i, j, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64))
 
-    dealt = nodes.select("fp", "fp2", "root").mapInArrow(deal, "anchor int, fp long, fp2 long, root long")
+    dealt = nodes.select(*names).mapInArrow(deal, "anchor int, " + ", ".join(f"{x} long" for x in names))
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
     pairs = dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, differ long, pick long")
     return pairs.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"), "differ", "pick")
@@ -403,7 +404,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: floa
     staging = Staging(docs.sparkSession, "simhash")
     marked = staging.write(shingle_sets(docs, words).withColumn("node", F.xxhash64("fp", "fp2")), "fingerprints")
     distinct = staging.write(marked.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least")), "distinct")
-    both = staging.write(_proposed(distinct.withColumn("root", F.col("node")), distance, False), "proposed")
+    both = staging.write(_proposed(distinct, distance, False), "proposed")
     ends = both.select(F.col("a").alias("node"), "differ", "pick", F.col("b").alias("other"))
     best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
     first = best.select(F.col("node").alias("a"), F.explode(F.array("near", "some")).alias("b"))
