@@ -266,6 +266,45 @@ def fmax(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.f_max(rows, "l_orderkey", "y", "p"))
 
 
+MCC = "coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn)) * sqrt((tn + fp) * (tn + fn)), 0), 0)"
+#: Orders stand for rows and suppliers for terms; a label and a prediction by line.
+CELLS = "c AS (SELECT l_orderkey, l_suppkey, CAST(l_discount >= 0.05 AS INT) AS y, l_tax AS s, CAST(l_tax >= 0.04 AS INT) AS p FROM lineitem)"
+COUNTS = "CAST(count(*) FILTER (y = 1 AND p = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (y = 0 AND p = 1) AS DOUBLE) AS fp, CAST(count(*) FILTER (y = 1 AND p = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (y = 0 AND p = 0) AS DOUBLE) AS tn"
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    y, p = (F.col("l_discount") >= 0.05).cast("int").alias("y"), (F.col("l_tax") >= 0.04).cast("int").alias("p")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", y, F.col("l_tax").alias("s"), p)
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT l_suppkey, {COUNTS} FROM c GROUP BY 1), r AS (SELECT l_orderkey, {COUNTS} FROM c GROUP BY 1), m AS (SELECT *, {MCC} AS mcc FROM t),
+  a AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM t)
+  SELECT (SELECT round({MCC}, 6) FROM a) AS mcc_micro, round(avg(mcc), 6) AS mcc_macro, round(sum(mcc * (tp + fn)) / sum(tp + fn), 6) AS mcc_weighted, (SELECT round(avg({MCC}), 6) FROM r) AS mcc_samples FROM m""")
+def multilabel_mcc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.multilabel_mcc(cells(spark, d), "l_orderkey", "l_suppkey", "y", "p"))
+
+
+@query(f"""WITH {CELLS}, k AS (SELECT l_suppkey, s, sum(y) AS pos, sum(1 - y) AS neg FROM c GROUP BY 1, 2),
+  w AS (SELECT *, sum(pos) OVER q / sum(pos + neg) OVER q AS r, coalesce(sum(neg) OVER (PARTITION BY l_suppkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2 AS below FROM k WINDOW q AS (PARTITION BY l_suppkey ORDER BY s DESC)),
+  e AS (SELECT l_suppkey, sum(pos) AS n, coalesce(sum(pos * r) / nullif(sum(pos), 0), 0) AS ap, sum(pos * below) / nullif(sum(pos) * sum(neg), 0) AS auc FROM w GROUP BY 1)
+  SELECT round(avg(ap), 6) AS ap_macro, round(sum(ap * n) / sum(n), 6) AS ap_weighted, round(avg(auc), 6) AS auc_macro FROM e""")
+def multilabel_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.multilabel_ranking(cells(spark, d), "l_suppkey", "y", "s"))
+
+
+@query("SELECT l_returnflag, round(avg(-l_tax * 10), 6) AS mean_log_prob, round(exp(-avg(-l_tax * 10)), 6) AS pseudo_perplexity FROM lineitem GROUP BY 1")
+def pseudo_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_returnflag", (-F.col("l_tax") * 10).alias("lp"))
+    return rounded(metrics.pseudo_perplexity(rows, ["l_returnflag"], "lp"))
+
+
+@query(f"""WITH b AS (SELECT l_returnflag AS g, CAST(l_discount >= 0.05 AS INT) AS y, l_extendedprice AS s FROM lineitem), k AS (SELECT g, median(s) AS m FROM b GROUP BY 1),
+  c AS (SELECT g, y, CAST(s >= m AS INT) AS p FROM b JOIN k USING (g)), t AS (SELECT g, {COUNTS} FROM c GROUP BY 1) SELECT g, round({MCC}, 6) AS mcc FROM t""")
+def assay_mcc(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_discount") >= 0.05).cast("int").alias("y"), F.col("l_extendedprice").alias("s"))
+    return rounded(metrics.assay_mcc(rows, ["g"], "y", "s"))
+
+
 @query("""WITH a AS (SELECT n_regionkey AS region, n_nationkey AS nation, avg(c_acctbal) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)
   SELECT region, round(avg(v), 6) AS c_acctbal, count(v) AS contributors FROM a GROUP BY 1""")
 def hierarchical_mean(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import mean
@@ -130,3 +130,52 @@ def contact_precision(pairs: DataFrame, unit: str, length: str, least: int = 6)
     each = r.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(10)))).filter(F.col("rank") == cut).withColumn("p", F.col("hits") / F.col("rank"))
     at = lambda d: F.max(F.when(F.col("d") == d, F.col("p")))
     return each.groupBy(unit).agg(F.avg("p").alias("auc"), at(10).alias("p_at_l"), at(5).alias("p_at_l2"), at(2).alias("p_at_l5"))
+
+
+def _mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
+    """Binary MCC of counts; 0 where labels or predictions are constant."""
+    d = lambda x: x.cast("double")
+    spread = F.sqrt(d(tp + fp) * d(tp + fn)) * F.sqrt(d(tn + fp) * d(tn + fn))
+    return F.coalesce(F.try_divide(d(tp) * d(tn) - d(fp) * d(fn), spread), F.lit(0.0))
+
+
+def multilabel_mcc(cells: DataFrame, row: str, term: str, label: str, prediction: str) -> DataFrame:
+    """mcc_micro, mcc_macro, mcc_weighted (by positives; unweighted if there are none) and mcc_samples of (row, term) cells of 0 and 1.
+
+    An empty table gives nulls.
+    """
+    y, p = F.col(label) == 1, F.col(prediction) == 1
+    counts = [F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn")]
+    names = [F.col(x) for x in ("tp", "fp", "fn", "tn")]
+    terms = cells.groupBy(term).agg(*counts).withColumn("mcc", _mcc(*names))
+    support = F.sum(F.col("tp") + F.col("fn"))
+    weighted = F.coalesce(F.try_divide(F.sum(F.col("mcc") * (F.col("tp") + F.col("fn"))), support), F.avg("mcc"))
+    micro = F.when(F.count("*") > 0, _mcc(*map(F.sum, names)))
+    by_term = terms.agg(micro.alias("mcc_micro"), F.avg("mcc").alias("mcc_macro"), weighted.alias("mcc_weighted"))
+    by_row = cells.groupBy(row).agg(*counts).agg(F.avg(_mcc(*names)).alias("mcc_samples"))
+    return by_term.join(F.broadcast(by_row))  # one row each
+
+
+def multilabel_ranking(cells: DataFrame, term: str, label: str, score: str) -> DataFrame:
+    """Average precision (macro; weighted by positives, 0 if there are none) and macro ROC-AUC over terms, leaving out those of one class."""
+    support = cells.groupBy(term).agg(F.sum(F.col(label).cast("long")).alias("positives"))
+    each = average_precision(cells, [term], label, score).join(roc_auc(cells, [term], label, score), term).join(support, term)
+    weighted = F.coalesce(F.try_divide(F.sum(F.col("average_precision") * F.col("positives")), F.sum("positives")), F.lit(0.0))
+    return each.agg(F.avg("average_precision").alias("ap_macro"), weighted.alias("ap_weighted"), F.avg("auc").alias("auc_macro"))
+
+
+def pseudo_perplexity(table: DataFrame, keys: list[str], log_prob: str) -> DataFrame:
+    """mean_log_prob and pseudo_perplexity, the exponential of its negative."""
+    average = F.avg(F.col(log_prob).cast("double"))
+    return table.groupBy(*keys).agg(average.alias("mean_log_prob"), F.exp(-average).alias("pseudo_perplexity"))
+
+
+def assay_mcc(table: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """MCC of a binary label and scores at or above their own median; NaN where either side is constant."""
+    cuts = table.groupBy(*keys).agg(F.percentile(F.col(score).cast("double"), 0.5).alias("_cut"))
+    joined = table.join(cuts, keys) if keys else table.join(F.broadcast(cuts))
+    y, p = F.col(label) == 1, F.col(score) >= F.col("_cut")
+    counts = joined.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    constant = (tp + fp == 0) | (fn + tn == 0) | (tp + fn == 0) | (fp + tn == 0)
+    return counts.select(*keys, F.when(constant, F.lit(float("nan"))).otherwise(_mcc(tp, fp, fn, tn)).alias("mcc"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import hashing, sequences
 from strandframe.operators import baselines, corpus, curriculum, inference, metrics, tables
 from strandframe.sources import sequences as files
+from strandframe.streaming import ingest
 
 
 def test_assembly(spark):
@@ -114,3 +115,33 @@ def test_temperature_of_calibrated_sites(spark):
     profile = [x / sum(soft) for x in soft]
     sites = spark.createDataFrame([(f, profile, logits) for f in (0, 1, 0, 1)], "fold int, profile array<double>, logits array<double>")
     assert {r.fold: round(r.temperature, 3) for r in baselines.temperature(sites, "fold", steps=14).collect()} == pytest.approx({0: 2.0, 1: 2.0}, abs=0.01)
+
+
+def test_multilabel_mcc(spark):
+    cells = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 0, 1), (2, "a", 0, 0), (2, "b", 0, 0)], "row int, term string, y int, p int")
+    r = metrics.multilabel_mcc(cells, "row", "term", "y", "p").first()
+    # a: 1; b: labels constant, 0; all weight is on a; both rows have a constant side
+    assert (r.mcc_macro, r.mcc_weighted, r.mcc_samples) == (0.5, 1.0, 0.0) and abs(r.mcc_micro - 2 / 12**0.5) < 1e-12
+    none = metrics.multilabel_mcc(cells.filter("false"), "row", "term", "y", "p").first()
+    assert tuple(none) == (None, None, None, None)
+
+
+def test_multilabel_ranking(spark):
+    cells = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.1), ("b", 0, 0.5), ("b", 0, 0.4)], "term string, y int, s double")
+    assert tuple(metrics.multilabel_ranking(cells, "term", "y", "s").first()) == (0.5, 1.0, 1.0)
+
+
+def test_assay_mcc(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 1, 1.0), ("b", 1, 3.0)], "g string, y int, s double")
+    got = {r.g: r.mcc for r in metrics.assay_mcc(rows, ["g"], "y", "s").collect()}
+    assert got["a"] == 1.0 and got["b"] != got["b"]
+
+
+def test_ingest_takes_a_shard_once(spark, tmp_path):
+    source, target, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    shard = lambda a, b: spark.range(a, b).write.mode("append").parquet(source)
+    shard(0, 10)
+    take = lambda: ingest.ingest(spark, source, target, log, "id long", lambda s: s.filter("id <> 3"))
+    assert (take(), take()) == (10, 0)
+    shard(10, 15)
+    assert take() == 5 and sorted(r.id for r in spark.read.parquet(target).collect()) == [i for i in range(15) if i != 3]
