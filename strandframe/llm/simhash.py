@@ -16,8 +16,8 @@ fingerprints are compared by quarters of 16 bits, of which two that differ in 3
 anchors are points of random coordinate subspaces, each a covering code of radius 0 on its own coordinates, enough of
 them that most pairs of that distance meet. Fingerprints only propose pairs there; each link is counted on the two
 sets of shingles. A first round counts two pairs of every fingerprint, the nearest and one picked by a hash, which
-ties a family of copies together without all its pairs; a second one counts every proposed pair whose ends are still
-apart. A pair that never meets at an anchor is missed, a pair below the similarity is never linked.
+ties a family of copies together without all its pairs; a second one compares all close fingerprints whose ends are
+still apart, in blocks of documents with their sets, and returns only what ties two components. A pair that never meets at an anchor is missed, a pair below the similarity is never linked.
 
 Nulls and empty texts: no shingle, fingerprint zero, linked like any other. A null doc_id takes part and is never the
 smallest; a component of null ids only has a null component_id. Repeated rows count once each. Empty tables give empty
@@ -46,6 +46,8 @@ BLOCK, INFO, RADIUS = 23, 12, 3
 PART, SHIFTED = 1 << 16, 3000
 #: Random projections for larger distances: their number and bits.
 PROJECTIONS, PROJECTED_BITS = 64, 16
+#: Rows of a part of a cluster; two parts are compared at a time.
+BLOCK_ROWS = 512
 #: Sets are pairs of these: distinct shingles by 32 bits of their hash.
 SET = np.dtype("<u4")
 
@@ -331,11 +333,8 @@ def close_pairs(groups: np.ndarray, values: np.ndarray, distance: int) -> Iterat
         shift += 1
 
 
-def _proposed(nodes: DataFrame, distance: int, every: bool) -> DataFrame:
-    """nodes: fp, fp2[, root]. Pairs (a, b, differ, pick) of close nodes, with different roots if nodes have any: for
-    each node at each anchor the nearest and one by a hash, or every pair."""
-    spark = nodes.sparkSession
-    names = ["fp", "fp2"] + ["root"] * ("root" in nodes.columns)
+def _met(nodes: DataFrame, *names: str) -> DataFrame:
+    """nodes, replicated to their anchors of all projections, sorted by anchor."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,24 +343,24 @@ def _proposed(nodes: DataFrame, distance: int, every: bool) -> DataFrame:
                 rows, name = by_projection(np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(name), *(part.column(k).take(pa.array(rows)) for k in range(len(names)))], names=["anchor", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "anchor"):
-            values = np.stack([table.column("fp").to_numpy(), table.column("fp2").to_numpy()], axis=1)
-            bits, root = values.view(np.uint64), table.column("root").to_numpy() if "root" in names else np.arange(len(values))
+    dealt = nodes.select(*names).mapInArrow(deal, "anchor int, " + ", ".join(f"{x} long" for x in names))
+    return dealt.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
 
-            def batch(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
-                # both ends of a pair see the same hash, whichever comes first
-                pick = _pick(bits[i] ^ bits[j]).view(np.int64)
-                return pa.RecordBatch.from_arrays([*(pa.array(values[r, k].copy()) for r in (i, j) for k in (0, 1)), pa.array(differ), pa.array(pick)], names=["a1", "a2", "b1", "b2", "differ", "pick"])
 
-            none = np.uint64(2**64 - 1)
-            nearest, picked = np.full(len(root), none), np.full(len(root), none)
+def _bits(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column("fp").to_numpy(), table.column("fp2").to_numpy()], axis=1).view(np.uint64)
+
+
+def _proposed(nodes: DataFrame, distance: int) -> DataFrame:
+    """nodes: fp, fp2. Pairs (a, b, differ, pick) of close nodes: for each node at each anchor the nearest and one by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, "anchor"):
+            bits = _bits(table)
+            values, none = bits.view(np.int64), np.uint64(2**64 - 1)
+            nearest, picked = np.full(len(bits), none), np.full(len(bits), none)
             for i, j, differ in close_pairs(table.column("anchor").to_numpy(), bits, distance):
-                apart = root[i] != root[j]
-                i, j, differ = i[apart], j[apart], differ[apart]
-                if every:
-                    yield batch(i, j, differ)
-                    continue
+                # both ends of a pair see the same hash, whichever comes first
                 chance = _pick(bits[i] ^ bits[j]) >> np.uint64(32) << np.uint64(32)
                 for x, y in ((i, j), (j, i)):
                     nearest[x] = np.minimum(nearest[x], differ.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
@@ -369,14 +368,96 @@ def _proposed(nodes: DataFrame, distance: int, every: bool) -> DataFrame:
             for best in (nearest, picked):
                 i = np.flatnonzero(best != none)
                 j = (best[i] & np.uint64(2**32 - 1)).astype(np.int64)
-                yield batch(i, j, np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64))
+                differ, pick = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64), _pick(bits[i] ^ bits[j]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(values[r, k].copy()) for r in (i, j) for k in (0, 1)), pa.array(differ), pa.array(pick)], names=["a1", "a2", "b1", "b2", "differ", "pick"])
 
-    dealt = nodes.select(*names).mapInArrow(deal, "anchor int, " + ", ".join(f"{x} long" for x in names))
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
-    pairs = dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, differ long, pick long")
+    pairs = _met(nodes, "fp", "fp2").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, differ long, pick long")
     return pairs.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"), "differ", "pick")
 
 
+def first_meeting(projection: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """Whether pairs, whose differing bits (n, 2) are given, meet in no projection before this one."""
+    masks = np.zeros((PROJECTIONS, 2), np.uint64)
+    for k, chosen in enumerate(coordinates()):
+        for c in chosen:
+            masks[k, c // 64] |= np.uint64(1) << np.uint64(c % 64)
+    out = np.ones(len(projection), bool)
+    for k, mask in enumerate(masks):
+        out &= (projection <= k) | (differing & mask).any(axis=1)
+    return out
+
+
+def blocks_of(cluster: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, low and high: clusters (sorted) in parts of at most most rows, each row with every two parts of which one is its own."""
+    first = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]])) if len(cluster) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(cluster)))
+    part = (np.arange(len(cluster)) - np.repeat(first, sizes)) // most
+    parts = np.repeat(-(-sizes // most), sizes)
+    rows, other = _spread(np.maximum(parts - 1, 1), np.zeros(len(cluster), np.int64))
+    own = part[rows]
+    other = np.where(parts[rows] > 1, other + (other >= own), own)
+    return rows, np.minimum(own, other), np.maximum(own, other)
+
+
+def _apart(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """nodes: fp, fp2, root. Links (a, b) that tie roots together, of all pairs of close nodes with different roots.
+
+    A task of anchors does not return pairs but the nodes that have any, by clusters of close ones in blocks; the tasks
+    of blocks get the nodes with their sets, count the pairs and return only links that tie two roots for the first time.
+    """
+    spark = nodes.sparkSession
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, "anchor"):
+            bits, root, anchor = _bits(table), table.column("root").to_numpy(), table.column("anchor").to_numpy()
+            forest, has = Forest(len(root)), np.zeros(len(root), bool)
+            for i, j, _ in close_pairs(anchor, bits, distance):
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                apart = first_meeting(anchor[i] >> PROJECTED_BITS, bits[i] ^ bits[j])
+                i, j = i[apart], j[apart]
+                has[i] = has[j] = True
+                forest.join(i, j)
+            own = np.flatnonzero(has)
+            own = own[np.argsort(forest.parent[own], kind="stable")]
+            rows, low, high = blocks_of(forest.parent[own], BLOCK_ROWS)
+            own = own[rows]
+            top = bits[forest.parent[own]].copy()
+            top[:, 0] ^= anchor[own].astype(np.uint64)
+            top[:, 1] ^= low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64)
+            values = bits[own].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_pick(top).view(np.int64)), pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(root[own])], names=["block", "fp", "fp2", "root"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, "block", BLOCK_ROWS):
+            bits, root, node = _bits(table), table.column("root").to_numpy(), table.column("node").to_numpy()
+            shingles = [np.frombuffer(x, SET) for x in table.column("shingles").to_pylist()]
+            _, tied = np.unique(root, return_inverse=True)  # roots, and below which of them are tied by now
+            forest, found = Forest(int(tied.max(initial=-1)) + 1), []
+            for i, j, _ in close_pairs(table.column("block").to_numpy(), bits, distance):
+                apart = forest.parent[tied[i]] != forest.parent[tied[j]]
+                linked = [(x, y) for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True) if similar(shingles[x], shingles[y], similarity)]
+                if linked:
+                    ends = np.array(linked)
+                    forest.join(tied[ends[:, 0]], tied[ends[:, 1]])
+                    found.append(node[ends])
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    blocks = _met(nodes, "fp", "fp2", "root").mapInArrow(cluster, "block long, fp long, fp2 long, root long")
+    wide = blocks.withColumn("node", F.xxhash64("fp", "fp2")).join(sets, "node")
+    wide = wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block")
+    return wide.mapInArrow(count, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of distinct shingles are at least so similar (Jaccard)."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """pairs (a, b) with their sets' similarity (Jaccard) of at least similarity; sets: node, shingles."""
 
@@ -384,9 +465,7 @@ def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), SET) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                keep.append(similar(*(np.frombuffer(v.as_buffer(), SET) for v in (x, y)), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
@@ -404,7 +483,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: floa
     staging = Staging(docs.sparkSession, "simhash")
     marked = staging.write(shingle_sets(docs, words).withColumn("node", F.xxhash64("fp", "fp2")), "fingerprints")
     distinct = staging.write(marked.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least")), "distinct")
-    both = staging.write(_proposed(distinct, distance, False), "proposed")
+    both = staging.write(_proposed(distinct, distance), "proposed")
     ends = both.select(F.col("a").alias("node"), "differ", "pick", F.col("b").alias("other"))
     best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
     first = best.select(F.col("node").alias("a"), F.explode(F.array("near", "some")).alias("b"))
@@ -415,8 +494,6 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: floa
     links = staging.write(_counted(first, sets, similarity), "links")
     roots = components(links, staging)
     apart = distinct.join(active, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _proposed(apart, distance, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = staging.write(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = staging.write(links.union(_counted(rest, sets, similarity)), "links")
+    links = staging.write(links.union(_apart(apart, sets, distance, similarity)), "links")
     named = _named(distinct, links, staging)
     return marked.select("doc_id", "node").join(named.select("node", "component_id"), "node").select("doc_id", "component_id")

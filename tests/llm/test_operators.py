@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandframe.llm import ann, bpe, components, langid, licenses, linededup, media, packing, quality, sharding, simhash
 from strandframe.llm.common import Staging
@@ -374,3 +375,41 @@ def test_licenses(docs, empty):
     got = [(*r[:8], [tuple(b) for b in r.blocks]) for r in licenses.scan(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licenses.scan(empty).count() == 0
+
+
+def test_blocks_hold_every_pair_of_a_cluster():
+    cluster = np.repeat([3, 5, 9, 12], [1, 7, 2, 20])
+    rows, low, high = simhash.blocks_of(cluster, 3)
+    together: dict[tuple, list] = {}
+    for r, a, b in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
+        together.setdefault((cluster[r], a, b), []).append(r)
+    met = {(x, y) for v in together.values() for x in v for y in v if x < y}
+    assert met == {(x, y) for x in range(30) for y in range(x + 1, 30) if cluster[x] == cluster[y]}
+    assert max(map(len, together.values())) <= 6
+    assert [len(x) for x in simhash.blocks_of(np.zeros(0, np.int64), 3)] == [0, 0, 0]
+
+
+def test_first_meeting_owns_each_pair_once():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, (40, 2)).astype(np.uint64))
+    names = [simhash.by_projection(v)[1].reshape(40, -1) for v in (a, b)]
+    for k in range(40):
+        shared = np.flatnonzero(names[0][k] == names[1][k])
+        owns = simhash.first_meeting(shared, np.repeat((a[k] ^ b[k])[None], len(shared), axis=0))
+        assert owns.tolist() == [True] + [False] * (len(shared) - 1)
+
+
+def test_second_round_ties_what_the_first_leaves_apart(spark):
+    words = [f"w{k}" for k in range(400)]
+    # two tight families around texts that are near each other, whose members' nearest are all of their own family
+    rows = [(fam * 100 + k, " ".join(words[: 395 - 5 * fam] + [f"x{fam}"] * 2 + [f"y{fam}_{k}"])) for fam in range(2) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.groups(frame).collect()} == {0}
+    marked = simhash.shingle_sets(frame, 5).withColumn("node", F.xxhash64("fp", "fp2")).cache()
+    nodes = marked.withColumn("root", F.when(F.col("doc_id") < 100, 0).otherwise(1).cast("long"))
+    links = simhash._apart(nodes, marked.select("node", "shingles"), 28, 0.8).collect()
+    family = {r.node: r.root for r in nodes.collect()}
+    assert links and all(family[x.a] != family[x.b] for x in links)
+    assert len(links) <= 8 * simhash.PROJECTIONS
+    marked.unpersist()
