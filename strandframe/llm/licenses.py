@@ -1,13 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license templates, by DataFrame functions only.
 
-A block is a line. It meets a template when the share of the template's distinct words that it holds is at least the
-threshold. Words are ordered by how many documents hold them, rarest first. A block that holds `need` of a template's m
+A block is a line with the words after it, one less than the template's notice is long, so whatever stretch of that
+length begins in the line lies in its block, however it is wrapped (empty lines included). A block meets a template when
+the share of the template's distinct words that it holds is at least the threshold. A line that neither meets the
+template by itself nor adds a word to what comes after it is not reported: the block of a later line holds as much.
+
+Words are ordered by how many documents hold them, rarest first. A block that holds `need` of a template's m
 words holds one of its first m - need + 1, so blocks and templates join on those words (prefix filter). A block with
 fewer than `need` distinct words is out (length filter), and so is one whose first common word stands at such a place
 of the template's order that too few words are left from there on (positional filter). What remains is counted exactly.
 
 The templates are a fixed, small table, so they and their frequencies are broadcast whatever the corpus. Documents
-without any prefix word are not taken apart.
+that hold `need` words of no template are not taken apart.
 
 Base phrases are places where a phrase's words stand consecutively; each is a label of its own accord.
 
@@ -44,17 +48,17 @@ def words_of(lowered: Column) -> Column:
 
 
 def template_table(docs: DataFrame, templates: dict[str, list[str]], threshold: float) -> list[tuple]:
-    """(label, words rarest first, need, prefix length) of every template; frequencies are counted over all documents."""
-    texts = [(label, sorted(set(t.split()))) for label, notices in templates.items() for t in notices]
-    vocabulary = sorted({w for _, words in texts for w in words})
+    """(label, words rarest first, need, prefix length, length of the notice) of every template; frequencies are counted over all documents."""
+    texts = [(label, sorted(set(t.split())), len(t.split())) for label, notices in templates.items() for t in notices]
+    vocabulary = sorted({w for _, words, _ in texts for w in words})
     words = F.array_intersect(F.split(lowered_text(), SEPARATORS), F.array(*map(F.lit, vocabulary)))
     held = docs.select(F.explode(words).alias("word")).groupBy("word").count()
     counts = dict(held.collect())  # a row for each word of the templates
     out = []
-    for label, own in texts:
+    for label, own, length in texts:
         ordered = sorted(own, key=lambda w: (counts.get(w, 0), w))
         need_ = -int(-threshold * len(own) // 1)
-        out.append((label, ordered, need_, len(own) - need_ + 1))
+        out.append((label, ordered, need_, len(own) - need_ + 1, length))
     return out
 
 
@@ -80,8 +84,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     table = template_table(docs, templates, threshold)
-    prefix = sorted({w for _, words, _, n in table for w in words[:n]})
-    vocabulary = sorted({w for _, words, _, _ in table for w in words})
+    prefix = sorted({w for _, words, _, n, _ in table for w in words[:n]})
+    vocabulary = sorted({w for _, words, *_ in table for w in words})
+    after = max((length for *_, length in table), default=1) - 1  # words that a block has besides its line, at most
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lowered_text().alias("lowered"))
     rows = rows.withColumn("words", words_of(F.col("lowered")))
@@ -93,32 +98,41 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     hits = F.concat(*(labelled(starts_of(F.col("words"), p.split()), label) for p, label in phrases.items()))
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     rows = rows.withColumn("hits", F.when(worth, hits).otherwise(none))
-    # blocks that hold a prefix word, as their numbers and distinct words of the templates
-    lines = F.split("lowered", "\n")
-    some = F.arrays_overlap(F.col("words"), F.array(*map(F.lit, prefix)))
-    tokens = F.transform(lines, lambda line, i: F.struct(i.alias("block"), F.array_distinct(words_of(line)).alias("words")))
+    # lines with words, and of each the words that follow it; every one of them has a word, so `after` lines hold enough
+    held = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+    rows = rows.withColumn("held", F.when(F.arrays_overlap("words", F.array(*map(F.lit, prefix))), held).otherwise(F.array().cast("array<string>")))
+    some = F.lit(False)
+    for _, words, need_, *_ in table:
+        some |= F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= need_
+    lines = F.filter(F.transform(F.split("lowered", "\n"), lambda line, i: F.struct(i.alias("block"), words_of(line).alias("words"))), lambda b: F.size(b["words"]) > 0)
+    none = F.array().cast("array<struct<block:int,words:array<string>>>")
+    rows = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), "hits", F.when(some, lines).otherwise(none).alias("lines"))
+    following = lambda i: F.slice(F.flatten(F.transform(F.slice("lines", i + 2, after), lambda b: F.slice(b["words"], 1, after))), 1, after)
+    joint = F.transform("lines", lambda b, i: F.struct(b["block"].alias("block"), b["words"].alias("own"), following(i).alias("after")))
+    # blocks that hold a prefix word; of a line only the distinct words of the templates count, of those after it also the places
     reduced = F.transform(
-        F.filter(tokens, lambda b: F.arrays_overlap(b["words"], F.array(*map(F.lit, prefix)))),
-        lambda b: F.struct(b["block"].alias("block"), F.size(b["words"]).alias("length"), F.array_intersect(b["words"], F.array(*map(F.lit, vocabulary))).alias("words")),
+        F.filter(joint, lambda b: F.arrays_overlap(b["own"], F.array(*map(F.lit, prefix))) | F.arrays_overlap(b["after"], F.array(*map(F.lit, prefix)))),
+        lambda b: F.struct(b["block"].alias("block"), F.array_intersect(b["own"], F.array(*map(F.lit, vocabulary))).alias("own"), b["after"].alias("after"), F.size(F.array_union(b["own"], b["after"])).alias("length")),
     )
-    empty = F.array().cast("array<struct<block:int,length:int,words:array<string>>>")
-    rows = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), "hits", F.when(some, reduced).otherwise(empty).alias("found"))
+    rows = rows.select("doc_id", "row", "n_words", "hits", reduced.alias("found"))
 
-    entries = [(label, words, need_, w, at) for label, words, need_, n in table for at, w in enumerate(words[:n])]
-    index = F.broadcast(spark.createDataFrame(entries, "label string, template array<string>, need int, word string, place int"))
+    entries = [(label, words, need_, length - 1, w, at) for label, words, need_, n, length in table for at, w in enumerate(words[:n])]
+    index = F.broadcast(spark.createDataFrame(entries, "label string, template array<string>, need int, after int, word string, place int"))
     blocks = rows.select("doc_id", "row", "n_words", "hits", F.explode_outer("found").alias("b"))
-    blocks = blocks.select("doc_id", "row", "n_words", "hits", "b", F.explode_outer(F.array_intersect("b.words", F.array(*map(F.lit, prefix)))).alias("word"))
+    blocks = blocks.select("doc_id", "row", "n_words", "hits", "b", F.explode_outer(F.array_intersect(F.concat("b.own", "b.after"), F.array(*map(F.lit, prefix)))).alias("word"))
     joined = blocks.join(index, "word", "left")
     # words of the template from the place on, at most, and no word twice
     possible = (F.col("b.length") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need"))
-    common = F.size(F.array_intersect("template", "b.words"))
-    met = F.when(possible & (common >= F.col("need")), F.struct(F.col("b.block").alias("block"), "label", (common / F.size("template")).alias("containment")))
+    rest = F.slice("b.after", 1, F.col("after"))
+    own, later, common = (F.size(F.array_intersect("template", x)) for x in (F.col("b.own"), rest, F.concat("b.own", rest)))
+    begins = (own >= F.col("need")) | (common > later)
+    met = F.when(possible & (common >= F.col("need")) & begins, F.struct(F.col("b.block").alias("block"), "label", (common / F.size("template")).alias("containment")))
     per = joined.select("doc_id", "row", "n_words", "hits", met.alias("met")).groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), F.first("hits").alias("hits"), F.array_sort(F.collect_set("met")).alias("blocks"))
     at = F.transform("hits", lambda h: h["at"])
     base = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["label"])))
-    own = F.transform("blocks", lambda b: b["label"])
+    labels = F.transform("blocks", lambda b: b["label"])
     score = F.greatest(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)), F.when(F.size("hits") > 0, 1.0).otherwise(0.0))
     return per.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"), score.alias("score"), "blocks",
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, labels))), ",").alias("labels"), score.alias("score"), "blocks",
     )
