@@ -53,7 +53,7 @@ SET = np.dtype("<u4")
 
 
 def shingle_bits(text: bytes, words: int, wide: bool = False, kept: list[np.ndarray] | None = None) -> np.ndarray:
-    """The fingerprint of a text as 1 (64 bits) or 2 (128 bits) unsigned numbers; kept gains its distinct shingles."""
+    """The fingerprint of a text as 1 (64 bits) or 2 (128 bits) unsigned numbers. With kept, which gains the distinct shingles, a repeated shingle counts once."""
     lanes = 2 if wide else 1
     tokens = text.lower().split()
     found: list[np.ndarray] = []
@@ -78,15 +78,27 @@ def shingle_bits(text: bytes, words: int, wide: bool = False, kept: list[np.ndar
             starts = [0, *(e + 1 for e in ends[: len(part) - words])]
             shingles = [joined[a:b] for a, b in zip(starts, ends[words - 1 :], strict=True)]
         hashes = [np.array([digest(s, seed) for s in shingles], np.uint64) for seed in (SEED, SEED + 1)[:lanes]]
-        bits = np.unpackbits(np.stack(hashes, axis=1).view(np.uint8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        rows = np.stack(hashes, axis=1)
         if kept is not None:
-            found.append(np.unique(hashes[0].astype(SET)))
+            found.append(rows[np.unique(rows[:, 0], return_index=True)[1]])
+            continue
+        total += _sums(rows)
     if kept is not None:
-        kept.append(np.unique(np.concatenate(found)))
+        rows = np.concatenate(found)
+        if len(found) > 1:
+            rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+        kept.append(np.unique(rows[:, 0].astype(SET)))
+        n = len(rows)
+        for at in range(0, n, PART):
+            total += _sums(rows[at : at + PART])
     return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (n, lanes) have each bit."""
+    return np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (long, the 64 bits)."""
     need(docs, "doc_id", "text")
@@ -101,7 +113,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp and fp2 (the 128 bits) and shingles (binary: the distinct ones, ascending)."""
+    """doc_id, fp and fp2 (the 128 bits of the distinct shingles), shingles (binary: the distinct ones, ascending) and node, a hash of these."""
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
 
@@ -110,9 +122,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             kept: list[np.ndarray] = []
             found = np.stack([shingle_bits(t, words, True, kept) for t in texts]).view(np.int64)
             columns = [batch.column(0).cast(pa.int64()), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array([k.tobytes() for k in kept], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "fp2", "shingles"])
+            columns.append(pa.array(np.array([xxhash.xxh64_intdigest(k.tobytes(), SEED) for k in kept], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "fp2", "shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, shingles binary, node long")
 
 
 @lru_cache
@@ -352,27 +365,27 @@ def _bits(table: pa.Table) -> np.ndarray:
 
 
 def _proposed(nodes: DataFrame, distance: int) -> DataFrame:
-    """nodes: fp, fp2. Pairs (a, b, differ, pick) of close nodes: for each node at each anchor the nearest and one by a hash."""
+    """nodes: fp, fp2, node. Pairs (a, b, differ, pick) of close nodes: for each node at each anchor the nearest and one by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "anchor"):
             bits = _bits(table)
-            values, none = bits.view(np.int64), np.uint64(2**64 - 1)
+            node, none = table.column("node").to_numpy(), np.uint64(2**64 - 1)
+            pick_of = lambda i, j: _pick(np.stack([(node[i] ^ node[j]).view(np.uint64), bits[i, 0] ^ bits[j, 0]], axis=1))  # noqa: E731, B023
             nearest, picked = np.full(len(bits), none), np.full(len(bits), none)
             for i, j, differ in close_pairs(table.column("anchor").to_numpy(), bits, distance):
                 # both ends of a pair see the same hash, whichever comes first
-                chance = _pick(bits[i] ^ bits[j]) >> np.uint64(32) << np.uint64(32)
+                chance = pick_of(i, j) >> np.uint64(32) << np.uint64(32)
                 for x, y in ((i, j), (j, i)):
                     nearest[x] = np.minimum(nearest[x], differ.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
                     picked[x] = np.minimum(picked[x], chance | y.astype(np.uint64))
             for best in (nearest, picked):
                 i = np.flatnonzero(best != none)
                 j = (best[i] & np.uint64(2**32 - 1)).astype(np.int64)
-                differ, pick = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64), _pick(bits[i] ^ bits[j]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(values[r, k].copy()) for r in (i, j) for k in (0, 1)), pa.array(differ), pa.array(pick)], names=["a1", "a2", "b1", "b2", "differ", "pick"])
+                differ, pick = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64), pick_of(i, j).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(differ), pa.array(pick)], names=["a", "b", "differ", "pick"])
 
-    pairs = _met(nodes, "fp", "fp2").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, differ long, pick long")
-    return pairs.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"), "differ", "pick")
+    return _met(nodes, "fp", "fp2", "node").mapInArrow(run, "a long, b long, differ long, pick long")
 
 
 def first_meeting(projection: np.ndarray, differing: np.ndarray) -> np.ndarray:
@@ -400,7 +413,7 @@ def blocks_of(cluster: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _apart(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """nodes: fp, fp2, root. Links (a, b) that tie roots together, of all pairs of close nodes with different roots.
+    """nodes: fp, fp2, node, root. Links (a, b) that tie roots together, of all pairs of close nodes with different roots.
 
     A task of anchors does not return pairs but the nodes that have any, by clusters of close ones in blocks; the tasks
     of blocks get the nodes with their sets, count the pairs and return only links that tie two roots for the first time.
@@ -409,7 +422,7 @@ def _apart(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float)
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "anchor"):
-            bits, root, anchor = _bits(table), table.column("root").to_numpy(), table.column("anchor").to_numpy()
+            bits, node, root, anchor = _bits(table), *(table.column(x).to_numpy() for x in ("node", "root", "anchor"))
             forest, has = Forest(len(root)), np.zeros(len(root), bool)
             for i, j, _ in close_pairs(anchor, bits, distance):
                 apart = root[i] != root[j]
@@ -422,11 +435,9 @@ def _apart(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float)
             own = own[np.argsort(forest.parent[own], kind="stable")]
             rows, low, high = blocks_of(forest.parent[own], BLOCK_ROWS)
             own = own[rows]
-            top = bits[forest.parent[own]].copy()
-            top[:, 0] ^= anchor[own].astype(np.uint64)
-            top[:, 1] ^= low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64)
+            top = np.stack([node[forest.parent[own]].view(np.uint64) ^ anchor[own].astype(np.uint64), low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64)], axis=1)
             values = bits[own].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_pick(top).view(np.int64)), pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(root[own])], names=["block", "fp", "fp2", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(_pick(top).view(np.int64)), pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(node[own]), pa.array(root[own])], names=["block", "fp", "fp2", "node", "root"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, "block", BLOCK_ROWS):
@@ -444,8 +455,8 @@ def _apart(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float)
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    blocks = _met(nodes, "fp", "fp2", "root").mapInArrow(cluster, "block long, fp long, fp2 long, root long")
-    wide = blocks.withColumn("node", F.xxhash64("fp", "fp2")).join(sets, "node")
+    blocks = _met(nodes, "fp", "fp2", "node", "root").mapInArrow(cluster, "block long, fp long, fp2 long, node long, root long")
+    wide = blocks.join(sets, "node")
     wide = wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block")
     return wide.mapInArrow(count, "a long, b long")
 
@@ -481,14 +492,16 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: floa
     chance = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     distance = int(128 * chance + slack * np.sqrt(128 * chance * (1 - chance)))
     staging = Staging(docs.sparkSession, "simhash")
-    marked = staging.write(shingle_sets(docs, words).withColumn("node", F.xxhash64("fp", "fp2")), "fingerprints")
-    distinct = staging.write(marked.groupBy("node", "fp", "fp2").agg(F.min("doc_id").alias("least")), "distinct")
+    marked = staging.write(shingle_sets(docs, words), "fingerprints")
+    # texts with the same set are one node; equal fingerprints of different sets are two, compared like any others
+    prints = F.min(F.struct("fp", "fp2"))
+    distinct = staging.write(marked.groupBy("node").agg(prints["fp"].alias("fp"), prints["fp2"].alias("fp2"), F.min("doc_id").alias("least")), "distinct")
     both = staging.write(_proposed(distinct, distance), "proposed")
     ends = both.select(F.col("a").alias("node"), "differ", "pick", F.col("b").alias("other"))
     best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
     first = best.select(F.col("node").alias("a"), F.explode(F.array("near", "some")).alias("b"))
     first = staging.write(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # only what has a partner is compared any further; of equal fingerprints one set stands for all
+    # only what has a partner is compared any further
     active = best.select("node")
     sets = staging.write(marked.select("node", "shingles").join(active, "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = staging.write(_counted(first, sets, similarity), "links")
