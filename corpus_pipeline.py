@@ -28,8 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share."""
-    return linededup.apply(docs, linededup.bitmaps(docs, "shared", min_docs=10))
+    """Documents without the lines that ten or more of them share, but for a line's first occurrence (smallest doc_id), so that a group of copies keeps one whole text."""
+    return linededup.apply(docs, linededup.bitmaps(docs, "shared_but_first", min_docs=10))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ the last key of a task can go on in another one; their rows are
 counted together afterwards. Per document, the lines to keep become one compressed bitmap; texts are not shuffled but for the join with it.
 
 Policies: ``first`` keeps a key's first occurrence (smallest document, then position), ``shared`` drops all lines whose
-key is found in at least min_docs documents.
+key is found in at least min_docs documents, ``shared_but_first`` drops these but for the key's first occurrence.
 
 A document is a distinct pair of doc_id and text; its copies in repeated rows share one bitmap. Null or empty texts are
 one empty line. Empty keys stay. A null doc_id is an id like others, the smallest. Extra columns are kept by ``apply``.
@@ -62,7 +62,7 @@ def line_rows(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
-def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool, spare: bool = False) -> Iterator[pa.RecordBatch]:
     """Reads sorted rows. Yields rows that go for sure, and with open set those of the task's first and last key, which may
     go on in other tasks and so are decided on together."""
     columns = ["h1", "h2", "has_id", "id", "text_h", "pos"]
@@ -87,6 +87,8 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool) -> It
         else:
             counts = np.add.reduceat(documents(rows).astype(np.int64), starts)
             gone = np.repeat(counts >= min_docs, sizes)
+            if spare:  # the first occurrence, which repeated rows of its document have too
+                gone &= np.any([r != np.repeat(r[starts], sizes) for r in rows[2:]], axis=0)
         return emit([r[gone] for r in rows], False) if gone.any() else None
 
     def open_group() -> Iterator[pa.RecordBatch]:
@@ -136,9 +138,9 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool) -> It
 
 def bitmaps(docs: DataFrame, policy: str = "shared", min_docs: int = 10, min_chars: int = 1, staging: Staging | None = None) -> DataFrame:
     """(has_id, id, text_h, dropped binary): for each document that loses lines, a zlib-compressed bitmap of them up to the last one."""
-    if policy not in ("shared", "first"):
+    if policy not in ("shared", "first", "shared_but_first"):
         raise ValueError(f"no such policy: {policy}")
-    first = policy == "first"
+    first, spare = policy == "first", policy == "shared_but_first"
     spark = docs.sparkSession
     staging = staging or Staging(spark, "lines")
     # the range bounds are sampled from the staged rows, so texts are read once for this
@@ -146,7 +148,7 @@ def bitmaps(docs: DataFrame, policy: str = "shared", min_docs: int = 10, min_cha
     order = ["h1", "h2", "has_id", "id", "text_h", "pos"]
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     # repeated rows of a document say the same thing
-    found = staging.write(dealt.mapInArrow(lambda b: _stream(b, min_docs, first), f"{ROWS}, open boolean"), "found")
+    found = staging.write(dealt.mapInArrow(lambda b: _stream(b, min_docs, first, spare), f"{ROWS}, open boolean"), "found")
     key = ["h1", "h2"]
     opened = found.filter("open")
     settled = found.filter("not open").select("has_id", "id", "text_h", "pos")
@@ -156,6 +158,9 @@ def bitmaps(docs: DataFrame, policy: str = "shared", min_docs: int = 10, min_cha
     else:
         frequent = opened.select(*key, "has_id", "id", "text_h").distinct().groupBy(*key).count().filter(F.col("count") >= min_docs)
         late = opened.join(frequent.select(*key), key)
+        if spare:
+            kept = opened.groupBy(*key).agg(F.min(F.struct("has_id", "id", "text_h", "pos")).alias("kept"))
+            late = late.join(kept, key).filter("struct(has_id, id, text_h, pos) <> kept")
     gone = settled.union(late.select("has_id", "id", "text_h", "pos"))
 
     def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
