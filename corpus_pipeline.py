@@ -33,10 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates; of its repeated rows one stays."""
-    marked = simhash.groups(docs)
-    kept = marked.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, that with the smallest doc_id, of each group of near-duplicates; of its repeated rows one stays.
+
+    Rows are told apart by doc_id and text: rows that share a doc_id but not their text are documents of their own, and a
+    null doc_id is an id like others, the last.
+    """
+    return simhash.survivors(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

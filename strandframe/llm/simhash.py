@@ -32,10 +32,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, need, slices, small_batches
+from .common import Staging, need, slices, small_batches, text_key
 from .components import components
 
 SEED = 42
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp and fp2 (the 128 bits of the distinct shingles), shingles (binary: the distinct ones, ascending) and node, a hash of these."""
+    """doc_id, fp and fp2 (the 128 bits of the distinct shingles), shingles (binary: the distinct ones, ascending), node, a hash of these, and text_h1 and text_h2, hashes of the text."""
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
 
@@ -123,9 +123,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             found = np.stack([shingle_bits(t, words, True, kept) for t in texts]).view(np.int64)
             columns = [batch.column(0).cast(pa.int64()), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array([k.tobytes() for k in kept], pa.binary())]
             columns.append(pa.array(np.array([xxhash.xxh64_intdigest(k.tobytes(), SEED) for k in kept], np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "fp2", "shingles", "node"])
+            columns += [batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "fp2", "shingles", "node", "text_h1", "text_h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, shingles binary, node long")
+    return docs.select("doc_id", "text", *text_key()).mapInArrow(run, "doc_id long, fp long, fp2 long, shingles binary, node long, text_h1 long, text_h2 long")
 
 
 @lru_cache
@@ -483,19 +484,18 @@ def _counted(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 2.2) -> DataFrame:
-    """doc_id and component_id of documents linked by a similarity (Jaccard) of their distinct word shingles as asked.
+def _linked(docs: DataFrame, staging: Staging, words: int, similarity: float, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of documents with their node, the nodes (node, least, first), and links (a, b) of nodes with a similarity (Jaccard) of distinct word shingles as asked.
 
     128-bit fingerprints propose pairs within the expected distance of that similarity plus slack deviations: sets of
     Jaccard similarity s have a cosine of 2s / (1 + s), and each bit differs with the probability of its angle over pi.
     """
     chance = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     distance = int(128 * chance + slack * np.sqrt(128 * chance * (1 - chance)))
-    staging = Staging(docs.sparkSession, "simhash")
     marked = staging.write(shingle_sets(docs, words), "fingerprints")
     # texts with the same set are one node; equal fingerprints of different sets are two, compared like any others
     prints = F.min(F.struct("fp", "fp2"))
-    distinct = staging.write(marked.groupBy("node").agg(prints["fp"].alias("fp"), prints["fp2"].alias("fp2"), F.min("doc_id").alias("least")), "distinct")
+    distinct = staging.write(marked.groupBy("node").agg(prints["fp"].alias("fp"), prints["fp2"].alias("fp2"), F.min("doc_id").alias("least"), F.min(_row()).alias("first")), "distinct")
     both = staging.write(_proposed(distinct, distance), "proposed")
     ends = both.select(F.col("a").alias("node"), "differ", "pick", F.col("b").alias("other"))
     best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
@@ -508,5 +508,43 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: floa
     roots = components(links, staging)
     apart = distinct.join(active, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     links = staging.write(links.union(_apart(apart, sets, distance, similarity)), "links")
+    return marked, distinct, links
+
+
+def _row() -> Column:
+    """A document, by id and text: in order of ids, null last, then of hashes of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_h1", "text_h2")
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 2.2) -> DataFrame:
+    """doc_id and component_id of documents linked by a similarity (Jaccard) of their distinct word shingles as asked."""
+    staging = Staging(docs.sparkSession, "simhash")
+    marked, distinct, links = _linked(docs, staging, words, similarity, slack)
     named = _named(distinct, links, staging)
     return marked.select("doc_id", "node").join(named.select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 2.2) -> DataFrame:
+    """One row of docs, all columns kept, of each group as in ``groups``: that with the smallest doc_id, then hash of the text.
+
+    A document is a pair of doc_id (null is an id like others, the last) and text; of its repeated rows any one stays.
+    """
+    staging = Staging(docs.sparkSession, "simhash")
+    _, distinct, links = _linked(docs, staging, words, similarity, slack)
+    roots = distinct.join(components(links, staging), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.*").alias("k")
+    keyed = docs.withColumns(dict(zip(key := _unused(docs, "text_h1", "text_h2"), text_key(), strict=True))).dropDuplicates(["doc_id", *key]).alias("d")
+    same = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id"))
+    for name, own in zip(("text_h1", "text_h2"), key, strict=True):
+        same &= F.col(f"k.{name}") == F.col(f"d.{own}")
+    return keyed.join(kept, same, "left_semi").select(*docs.columns)
+
+
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where docs has them."""
+    out = []
+    for name in names:
+        while name in docs.columns:
+            name += "_"
+        out.append(name)
+    return out

@@ -70,3 +70,27 @@ def test_lines_of_one_frequent_key_over_many_tasks(spark):
     got = corpus_pipeline.lines(spark, table(spark, rows), "").collect()
     assert {r.doc_id: r.text for r in got if "same" in r.text} == {1: "same\nown 1"} and len(got) == 900
     assert corpus_pipeline.lines(spark, table(spark, rows).limit(0), "").count() == 0
+
+
+def near_texts():
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choices(words, k=120) for _ in range(6)]
+    text = [" ".join(b) for b in base]
+    near = [" ".join([*b[:118], "x", "y"]) for b in base]
+    return [
+        (None, text[0]), (None, text[0]), (None, text[1]), (7, near[1]), (None, text[2]), (None, near[2]),
+        (5, text[3]), (5, text[4]), (5, near[3]), (4, near[4]), (9, text[5]), (9, text[5]), (8, text[5].upper()), (20, ""), (21, None), (3, " "),
+    ]
+
+
+def test_near_duplicates_by_row(spark):
+    texts = near_texts()
+    rows = corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()
+    got = sorted([(r.doc_id, r.text) for r in rows], key=str)
+    by_text = [t for _, t in got]
+    assert len(got) == len(set(got)) == 7
+    assert (None, texts[0][1]) in got and (7, texts[3][1]) in got and (4, texts[9][1]) in got and (8, texts[12][1]) in got and (3, " ") in got
+    assert [i for i, t in got if t in (texts[4][1], texts[5][1])] == [None] and [i for i, t in got if t in (texts[6][1], texts[8][1])] == [5]
+    assert texts[7][1] not in by_text and rows[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
+    assert corpus_pipeline.near_duplicates(spark, table(spark, texts).limit(0), "").count() == 0
