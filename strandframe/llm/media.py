@@ -1,6 +1,7 @@
 """AVI motion-JPEG columns: writing and parsing the container, decoding intra frames, finding shots.
 
-Frames are baseline JPEG with one component of eight bits. The unit that JPEG keeps without loss is the quantised
+Frames are baseline JPEG of eight bits, of one component or of several interleaved in one scan, of which the first (luma)
+is kept; a frame without Huffman tables has the standard ones of Annex K, as AVI1 has it. ``store`` writes one component. The unit that JPEG keeps without loss is the quantised
 coefficient, so ``store`` writes a payload as coefficients (byte - 128, quantisers of one, in zigzag order) and
 ``Movie.coefficients`` gives it back bit for bit. A restart interval holds one row of three blocks, 192 bytes; a
 comment segment of each frame says how many rows are payload. Decoding runs in lock step over all restart intervals
@@ -15,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from zlib import crc32
 
@@ -50,6 +51,20 @@ def own_tables() -> tuple[tuple[bytes, bytes], tuple[bytes, bytes]]:
     return dc, ac
 
 
+@lru_cache
+def standard_tables() -> dict[int, tuple[bytes, bytes]]:
+    """Tables of Annex K by class and number, as in a DHT segment: luma 0, chroma 1."""
+    pairs = lambda *rows: bytes(r << 4 | x for r, first in rows for x in range(first, 11))
+    luma = bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a")
+    chroma = bytes.fromhex("0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a")
+    return {
+        0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+        0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+        0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D]), luma + pairs((3, 4), *((r, 3) for r in range(4, 9)), *((r, 2) for r in range(9, 14)), (14, 1), (15, 1))),
+        0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 0x77]), chroma + pairs((3, 5), *((r, 3) for r in range(4, 8)), *((r, 2) for r in range(8, 16)))),
+    }
+
+
 def codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
     """Code and length of every symbol of a Huffman table."""
     out, code, at = {}, 0, 0
@@ -281,26 +296,30 @@ class Frame:
     height: int = 0
     interval: int = 0
     quantisers: tuple[int, ...] = ()
-    dc: tuple[bytes, bytes] = (b"", b"")
-    ac: tuple[bytes, bytes] = (b"", b"")
+    #: Of each component in the order of the scan: blocks across and down in a unit, DC and AC table.
+    scan: tuple[tuple[int, int, tuple[bytes, bytes], tuple[bytes, bytes]], ...] = ()
+    luma: int = 0
     payload_rows: int = -1
     data: bytes = b""
 
 
 @lru_cache(maxsize=256)
 def parse_head(head: bytes) -> Frame:
-    f, at, tables, chosen = Frame(), 2, {}, (0, 0)
+    f, at, tables, quantisers, parts, chosen = Frame(), 2, dict(standard_tables()), {}, [], []
     while at + 4 <= len(head):
         mark, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body, at = head[at + 4 : at + 2 + size], at + 2 + size
         if mark == 0xDB:
-            if body[0] >> 4:
-                raise ValueError("quantisers of 16 bits aren't read")
-            f.quantisers = tuple(body[1:65])
+            while body:
+                if body[0] >> 4:
+                    raise ValueError("quantisers of 16 bits aren't read")
+                quantisers[body[0]] = tuple(body[1:65])
+                body = body[65:]
         elif mark == 0xC0:
             bits, f.height, f.width, components = struct.unpack_from(">BHHB", body)
-            if bits != 8 or components != 1:
-                raise ValueError("only frames of one component of eight bits are read")
+            if bits != 8:
+                raise ValueError("only frames of eight bits are read")
+            parts = [tuple(body[6 + 3 * k : 9 + 3 * k]) for k in range(components)]  # name, sampling, quantiser
         elif 0xC1 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only baseline frames are read")
         elif mark == 0xC4:
@@ -313,8 +332,17 @@ def parse_head(head: bytes) -> Frame:
         elif mark == 0xFE and body.startswith(b"payload rows "):
             f.payload_rows = int(body[13:])
         elif mark == 0xDA:
-            chosen = body[2] >> 4, 0x10 | body[2] & 15
-    f.dc, f.ac = tables.get(chosen[0], own_tables()[0]), tables.get(chosen[1], own_tables()[1])
+            chosen = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, 0x10 | body[2 + 2 * k] & 15) for k in range(body[0])]
+    names = [name for name, _, _ in chosen]
+    if not parts or sorted(names) != sorted(x[0] for x in parts):
+        raise ValueError("only frames of one scan with all components are read")
+    sampling = {name: (x >> 4, x & 15) if len(parts) > 1 else (1, 1) for name, x, _ in parts}
+    if any(d not in tables or a not in tables for _, d, a in chosen) or parts[0][2] not in quantisers or any(0 in x for x in sampling.values()):
+        raise ValueError("a table or sampling factor that the frame hasn't")
+    f.scan, f.luma = tuple((*sampling[name], tables[d], tables[a]) for name, d, a in chosen), names.index(parts[0][0])
+    if any(f.scan[f.luma][k] != max(x[k] for x in f.scan) for k in (0, 1)):
+        raise ValueError("only frames with luma in full resolution are read")
+    f.quantisers = quantisers[parts[0][2]]
     return f
 
 
@@ -327,18 +355,21 @@ def parse_frame(frame: bytes) -> Frame:
     at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
     end = frame.rfind(b"\xff\xd9")
     known = parse_head(frame[:at])
-    return Frame(known.width, known.height, known.interval, known.quantisers, known.dc, known.ac, known.payload_rows, frame[at : end if end > 0 else len(frame)])
+    return replace(known, data=frame[at : end if end > 0 else len(frame)])
 
 
 def decode_coefficients(frames: list[Frame]) -> np.ndarray:
-    """Coefficients (blocks, 64) in zigzag order of frames that share their tables, all restart intervals in lock step."""
-    dc, ac = frames[0].dc, frames[0].ac
-    tables = np.concatenate([lookup(*dc, True), lookup(*ac, False)])
+    """Luma's coefficients (blocks, 64) in zigzag order of frames that share their scan, all restart intervals in lock step."""
+    scan, luma = frames[0].scan, frames[0].luma
+    tables = np.concatenate([t for _, _, dc, ac in scan for t in (lookup(*dc, True), lookup(*ac, False))])
+    across, down = scan[luma][:2]
+    # of each block of a unit, its component
+    unit = np.repeat(np.arange(len(scan)), [h * v for h, v, _, _ in scan])
     joined, blocks = [], []
     for f in frames:
-        count = -(-f.width // 8) * -(-f.height // 8)
+        count = -(-f.width // (8 * across)) * -(-f.height // (8 * down))
         step = f.interval or count
-        blocks += [min(step, count - k) for k in range(0, count, step)]
+        blocks += [min(step, count - k) * len(unit) for k in range(0, count, step)]
         joined.append(f.data)
         joined.append(b"\xff\xd0")
     data = np.frombuffer(b"".join(joined), np.uint8)
@@ -362,7 +393,10 @@ def decode_coefficients(frames: list[Frame]) -> np.ndarray:
     lane = np.arange(len(starts))
     while len(lane):
         peek = words[at >> 3] >> (16 - (at & 7)).astype(np.uint32) & 0xFFFF
-        entry = tables[peek + (k > 0) * (1 << 16)]
+        table = (k > 0) * (1 << 16)
+        if len(scan) > 1:
+            table = table + (unit[(base >> 6) % len(unit)] << 17)  # lanes hold whole units
+        entry = tables[peek + table]
         if (entry < 0).any():
             raise ValueError("a code that the table hasn't")
         length, size, run = entry & 31, entry >> 5 & 31, entry >> 10
@@ -388,10 +422,24 @@ def decode_coefficients(frames: list[Frame]) -> np.ndarray:
                 live = left > 0
                 at, k, base, left, lane = at[live], k[live], base[live], left[live], lane[live]
     out = out.reshape(-1, 64)
+    if len(scan) > 1:
+        out = out[np.tile(unit == luma, len(out) // len(unit))]
+        blocks_of = blocks_of // len(unit) * (across * down)
+        first = np.concatenate([[0], np.cumsum(blocks_of)[:-1]])
     # DC values are differences within a restart interval
     total = np.cumsum(out[:, 0].astype(np.int64))
     out[:, 0] = total - np.repeat(np.where(first > 0, total[first - 1], 0), blocks_of)
-    return out
+    return out if len(scan) == 1 else np.concatenate([out[x] for x in _rows(frames, across, down)])
+
+
+def _rows(frames: list[Frame], across: int, down: int) -> Iterator[np.ndarray]:
+    """Of each frame, the places of its luma blocks row by row, without those of units that lie outside the frame."""
+    start = 0
+    for f in frames:
+        wide, high = -(-f.width // (8 * across)), -(-f.height // (8 * down))
+        places = start + np.arange(wide * high * across * down).reshape(high, wide, down, across).transpose(0, 2, 1, 3).reshape(high * down, wide * across)
+        yield places[: -(-f.height // 8), : -(-f.width // 8)].ravel()
+        start += wide * high * across * down
 
 
 @lru_cache
@@ -468,9 +516,9 @@ def read(media: list[bytes]) -> list[Movie]:
     groups: dict[tuple, list[tuple[int, Frame]]] = {}
     for i, (_, frames) in enumerate(parsed):
         for f in frames:
-            groups.setdefault((f.quantisers, f.dc, f.ac), []).append((i, f))
+            groups.setdefault((f.quantisers, f.scan, f.luma), []).append((i, f))
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for (quantisers, _, _), members in groups.items():
+    for (quantisers, *_), members in groups.items():
         decoded = decode_coefficients([f for _, f in members])
         blocks = [-(-f.width // 8) * -(-f.height // 8) for _, f in members]
         counts = histograms(decoded, quantisers, blocks)
