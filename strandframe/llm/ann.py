@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample (SAMPLE vectors) and has a bounded number of leaves, so it is small enough to
-send to every worker whatever the table's size. Every vector is assigned to its leaf. A query walks the tree through
-a priority queue of branches, nearest first, and takes the leaves in the order in which they come up. How many it
-visits is calibrated: the true neighbours of CALIBRATED queries are found by brute force over all vectors, and visits
-widen until the share of them that lies in visited leaves reaches the target recall. All queries then visit that many
-leaves. Leaves with more than LEAF_ROWS vectors are split into parts, so a hot leaf is no hot task.
+The tree is fitted on a bounded sample and has a bounded number of leaves (MOST_LEAVES, about LEAF_VECTORS vectors each
+until there are that many), so it is small enough to send to every worker whatever the table's size. Every vector is
+assigned to its leaf. A query walks the tree through a priority queue of branches, nearest first, and takes the leaves
+in the order in which they come up. How many it visits is calibrated: the true neighbours of CALIBRATED queries are
+found by brute force over all vectors, and visits widen until the share of them that lies in visited leaves reaches the
+target recall. All queries then visit that many leaves, and more where these hold fewer vectors than were asked for.
+
+Neighbouring leaves form buckets of about PART_ROWS vectors. A query goes to the buckets of its leaves only. A bucket
+with more vectors (one hot leaf) or more queries is searched in blocks of PART_ROWS vectors by PART_ROWS queries, so no
+task grows with the table.
 
 Scores are inner products in double precision of the original vectors. Candidates are chosen by blocked matrix
 products; all that could be among the k best by their rounding are scored again one by one, in a way that gives equal
 vectors equal scores, so ties go to the smaller id.
 
-Null or zero vectors, and those with null or non-finite components, take no part; nor do rows with a null id or a
-length that differs from the most frequent one. Repeated rows count once each. Fewer vectors than asked for: all of
-them. Empty tables give empty results; extra columns are ignored.
+Null or zero vectors, and those with null or non-finite components, take no part; nor do rows with a null id. Rows that
+share an id are one vector, so a repeated row changes nothing (of different vectors under one id, the one with the
+smallest hash stands). Vectors of different lengths have no inner product, so they are an error. Fewer vectors than
+asked for: all of them. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import Staging, need
 
-SAMPLE, CALIBRATED, SEED = 40_000, 192, 11
+CALIBRATED, SEED = 192, 11
 #: Vectors for each leaf, children of a node, and the most leaves.
-LEAF_VECTORS, BRANCHES, MOST_LEAVES = 640, 8, 1024
-#: Neighbouring leaves are searched together in so many buckets, and a bucket in parts of so many vectors.
-BUCKETS, PART_ROWS = 12, 20_000
+LEAF_VECTORS, BRANCHES, MOST_LEAVES = 640, 8, 16_384
+#: Vectors that the tree is fitted on: so many, or more for a tree with many leaves.
+SAMPLE, SAMPLE_LEAF = 40_000, 16
+#: Vectors and queries of a block, and the least number of buckets, which gives small tables some tasks.
+PART_ROWS, BUCKETS = 20_000, 12
 SLACK = 1e-9
 
 
@@ -65,13 +72,14 @@ class Tree:
             stack += [(kid, rows[near == i]) for i, kid in enumerate(kids)]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order: the queue holds branches by the inner product of query and centre."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: the queue holds branches by the inner product of query and centre. Given their sizes, there are more than most where these hold fewer than least vectors."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                held += least if sizes is None else int(sizes[out[-1]])
                 continue
             kids = self.children[node]
             for score, kid in zip((self.centres[kids] @ query).tolist(), kids, strict=True):
@@ -174,20 +182,40 @@ def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return vectors.filter(good).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"))
 
 
+def _one_an_id(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, v) with one vector an id. Only where ids repeat are vectors shuffled for it."""
+    if rows.select("vec_id").groupBy("vec_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("x")).select("vec_id", F.col("x.v").alias("v"))
+
+
+def buckets_of(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The bucket of every leaf: neighbouring leaves, until they hold most vectors."""
+    out, bucket, held = np.zeros(len(sizes), np.int32), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            bucket, held = bucket + 1, 0
+        out[leaf], held = bucket, held + n
+    return out
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found for every row that queries (over vec_id and v) selects."""
     spark = vectors.sparkSession
     staging = Staging(spark, "ann")
-    rows = clean(vectors, id_column, vector_column)
-    lengths = sorted((-n, d) for d, n in rows.groupBy(F.size("v")).count().collect())
-    if not lengths:
+    rows = _one_an_id(staging.write(clean(vectors, id_column, vector_column), "clean"))
+    total, shortest, longest = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    total, dimension = -lengths[0][0], lengths[0][1]
-    rows = staging.write(rows.filter(F.size("v") == dimension), "rows")
-    share = int(min(1.0, SAMPLE / total) * (1 << 30))
+    if shortest != longest:
+        raise ValueError(f"vectors of {shortest} to {longest} components have no inner product")
+    leaves = int(np.clip(total // LEAF_VECTORS, 8, MOST_LEAVES))
+    share = int(min(1.0, max(SAMPLE, SAMPLE_LEAF * leaves) / total) * (1 << 30))
     sampled = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).toArrow()
     order = np.argsort(sampled.column("vec_id").to_numpy(), kind="stable")
-    tree = grow(matrix(sampled.column("v"))[order], int(np.clip(total // LEAF_VECTORS, 8, MOST_LEAVES)))
+    if not len(order):
+        sampled, order = rows.orderBy("vec_id").limit(1).toArrow(), np.zeros(1, np.int64)
+    tree = grow(matrix(sampled.column("v"))[order], leaves)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,32 +227,34 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
     asked = indexed.filter(queries)
     visits = _calibrate(indexed, asked, tree, k, recall)
 
-    bucket_of = [leaf * BUCKETS // tree.leaves for leaf in range(tree.leaves)]
-    bucket = F.floor(F.col("leaf") * BUCKETS / tree.leaves).cast("int")
-    sizes = dict(indexed.groupBy(bucket.alias("bucket")).count().collect())  # at most BUCKETS rows
-    parts = {b: -(-n // PART_ROWS) for b, n in sizes.items()}
-    parts_of = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
+    sizes = np.zeros(tree.leaves, np.int64)
+    for leaf, n in indexed.groupBy("leaf").count().collect():  # a row a leaf, at most MOST_LEAVES
+        sizes[leaf] = n
+    bucket_of = buckets_of(sizes, min(PART_ROWS, max(1, total // BUCKETS)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows_, buckets, part, leaves = [], [], [], []
+            rows_, buckets, leaves = [], [], []
             for i, q in enumerate(matrix(b.column(1))):
                 wanted: dict[int, list[int]] = {}
-                for leaf in tree.visit(q, visits):
-                    wanted.setdefault(bucket_of[leaf], []).append(leaf)
-                for own, found in wanted.items():
-                    n = parts.get(own, 0)
-                    rows_ += [i] * n
-                    buckets += [own] * n
-                    part += range(n)
-                    leaves += [found] * n
+                for leaf in tree.visit(q, visits, sizes, k + 1):
+                    wanted.setdefault(int(bucket_of[leaf]), []).append(leaf)
+                rows_ += [i] * len(wanted)
+                buckets += wanted
+                leaves += wanted.values()
             take = pa.array(rows_, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(buckets, pa.int32()), pa.array(part, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "v", "bucket", "part", "leaves"]
-            )
-
-    routed = asked.select("vec_id", "v").mapInArrow(route, f"vec_id long, v {kind}, bucket int, part int, leaves array<int>")
-    dealt = indexed.withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64("vec_id"), parts_of[F.col("bucket")]).cast("int"))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(buckets, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "v", "bucket", "leaves"])
+
+    routed = staging.write(asked.select("vec_id", "v").mapInArrow(route, f"vec_id long, v {kind}, bucket int, leaves array<int>"), "routed")
+    # the blocks of every bucket: at most MOST_LEAVES rows
+    askers = dict(routed.groupBy("bucket").count().collect())
+    held = np.bincount(bucket_of, sizes).astype(np.int64)
+    blocks = spark.createDataFrame([(b, -(-int(held[b]) // PART_ROWS), -(-n // PART_ROWS)) for b, n in askers.items()], "bucket int, parts int, query_parts int")
+    names = spark.createDataFrame(list(enumerate(bucket_of.tolist())), "leaf int, bucket int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col(n)).cast("int")
+    left = routed.join(F.broadcast(blocks), "bucket").select("vec_id", "v", "bucket", "leaves", every("parts").alias("part"), own("query_parts", 1).alias("query_part"))
+    right = indexed.join(F.broadcast(names), "leaf").join(F.broadcast(blocks), "bucket").select("vec_id", "v", "leaf", "bucket", own("parts", 2).alias("part"), every("query_parts").alias("query_part"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         """The k best of each query over the leaves that it visits here."""
@@ -237,10 +267,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
             for x in found:
                 by_leaf.setdefault(x, []).append(i)
         kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for x, askers in by_leaf.items():
+        for x, asking in by_leaf.items():
             here = np.flatnonzero(leaf == x)
             if len(here):
-                for q, near, scores in best(asks[askers], owners[askers], points[here], ids[here], k):
+                for q, near, scores in best(asks[asking], owners[asking], points[here], ids[here], k):
                     kept.setdefault(q, []).append((near, scores))
         out = []
         for q, found in kept.items():
@@ -249,8 +279,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
             out.append((q, near[order], scores[order]))
         return pa.Table.from_batches([_batch(out)])
 
-    pairs = routed.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(compare, FOUND)
-    return _merge(pairs, k)
+    key = ["bucket", "part", "query_part"]
+    return _merge(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, FOUND), k)
 
 
 def _calibrate(indexed: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> int:
