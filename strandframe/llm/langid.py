@@ -1,15 +1,19 @@
 """Language identification by compression.
 
 A language is a zstandard dictionary of raw content: texts of a bounded sample of labelled rows. A text, in lower
-case, is compressed once with every dictionary, in blocks so that a long text stays a matter of the dictionary and not of its own start,
-and the language with the fewest bytes wins. The score is the margin to the next one; a narrow margin is a rejection.
-
-Learning reads at most SAMPLE_TEXTS texts of each language (a bound, not a share of the corpus), picked by the hash of
-doc_id. A language whose labels are rarer than that gives all its texts.
-
-Nulls: a null text, and a text without a letter, is ``und`` with score 0. Rows with a null lang are predicted but not
-learned from. Ties go to the language first in order. With nothing to learn from, all are ``und``; with one language,
-every text is that language with score 1. Empty tables give empty results; repeated rows and extra columns change nothing.
+case, is compressed once with every dictionary, in blocks so that a long text stays a matter of the dictionary and not
+of its own start, and the language with the fewest bytes wins. The score is the margin to the next one; a narrow margin
+is a rejection. A few words often come to the same number of whole bytes, so a short text with a narrow margin is
+measured again with its words in other orders, and the sums of these sizes decide.
+
+Learning takes at most SAMPLE_TEXTS distinct texts of each language (a bound, not a share of the corpus), those with
+the smallest hashes, and fills the dictionary with them, whole and in that order, as far as DICTIONARY_BYTES go. A
+language with fewer texts gives all; one whose texts are all too long for that gives its shortest.
+
+Nulls: a null text, and a text without a letter, is ``und`` with score 0, and nothing is learned from it. Rows with a
+null lang are predicted but not learned from. Ties go to the language first in order. With nothing to learn from, all
+are ``und``; with one language, every text is that language with score 1. Empty tables give empty results. What is
+learned depends on the set of (lang, text) alone, so repeated rows, partitions and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import need, slices, small_batches
 
-SAMPLE_TEXTS, DICTIONARY_BYTES, PIECE_BYTES = 160, 96 << 10, 3000
-BLOCK_BYTES, LEVEL = 4096, 7
+SAMPLE_TEXTS, DICTIONARY_BYTES = 160, 96 << 10
+#: Bytes of a block, and of a text that is measured again where its margin is narrow.
+BLOCK_BYTES, SHORT_BYTES, LEVEL = 4096, 200, 7
 UNKNOWN = "und"
 #: Share of the second-best size by which the best has to be smaller.
 NARROW = 0.003
@@ -36,23 +41,28 @@ _letter = regex.compile(r"\p{L}").search
 def learn(docs: DataFrame, usable: Column | None = None) -> dict[str, bytes]:
     """Dictionaries by language from the rows of docs (doc_id, text, lang) that usable selects."""
     need(docs, "doc_id", "text", "lang")
-    rows = docs.filter("lang is not null and text is not null")
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows if usable is None else rows.filter(usable)
-    counts = dict(rows.groupBy("lang").count().collect())  # a row for each language
-    if not counts:
-        return {}
-    place = F.pmod(F.xxhash64(F.lit(11), "doc_id", F.length("text")), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, SAMPLE_TEXTS / n) * (1 << 30)))))
-    # a dictionary has a bounded size, so no text needs to give it more than a piece; predictions read whole texts
-    picked = rows.filter(place < share[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, PIECE_BYTES).alias("text"))
-    texts: dict[str, list[tuple]] = {}
-    for lang, doc_id, text in picked.limit(SAMPLE_TEXTS * 4 * len(counts)).collect():
-        texts.setdefault(lang, []).append((str(doc_id), text))
-    out = {}
-    for lang, found in sorted(texts.items()):
-        parts = list(dict.fromkeys(t.lower().encode() for _, t in sorted(found)))
-        out[lang] = b"\n".join(parts)[-DICTIONARY_BYTES:]
-    return out
+    place = F.xxhash64(F.lit(11), "text")
+    marked = rows.select("lang", "text", place.alias("place"), F.octet_length("text").alias("size"))
+    # a text is one however often it occurs, and texts that no dictionary can hold are left for languages with no others
+    fits = F.col("size") <= DICTIONARY_BYTES
+    found = marked.select("lang", "place", fits.alias("fits")).distinct().groupBy("lang").agg(F.count_if("fits").alias("n")).collect()  # a row for each language
+    out: dict[str, list[bytes]] = {r.lang: [] for r in found}
+    # twice as many as wanted by a threshold on the hash, then the wanted ones with the smallest hashes
+    share = {r.lang: int(min(1.0, 2 * SAMPLE_TEXTS / r.n) * ((1 << 30) - 1)) for r in found if r.n}
+    if share:
+        limit = F.create_map(*(F.lit(x) for item in share.items() for x in item))
+        some = marked.filter(fits & (F.pmod("place", F.lit(1 << 30)) <= limit[F.col("lang")])).dropDuplicates(["lang", "place"])
+        ranked = some.withColumn("rank", F.expr("row_number() over (partition by lang order by pmod(place, 1 << 30), place)")).filter(F.col("rank") <= SAMPLE_TEXTS)
+        for r in ranked.orderBy("lang", "rank").collect():
+            text = r.text.lower().encode()
+            if sum(map(len, out[r.lang])) + len(out[r.lang]) + len(text) <= DICTIONARY_BYTES:
+                out[r.lang].append(text)
+    if long := [lang for lang, texts in out.items() if not texts]:
+        for r in marked.filter(F.col("lang").isin(long)).groupBy("lang").agg(F.min(F.struct("size", "place", "text")).alias("x")).collect():
+            out[r.lang].append(r.x.text.lower().encode())
+    return {lang: b"\n".join(reversed(texts)) for lang, texts in sorted(out.items())}
 
 
 class Identifier:
@@ -75,7 +85,15 @@ class Identifier:
             return UNKNOWN, 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
-        sizes = self.sizes(letters.lower().encode())
+        text = letters.lower().encode()
+        lang, margin = self.narrowest(self.sizes(text))
+        if margin < NARROW and len(text) <= SHORT_BYTES:
+            words = text.split()
+            lang, margin = self.narrowest(sum(self.sizes(b" ".join([text, *words[i:], *words[:i]])) for i in range(len(words))))
+        return lang, margin
+
+    def narrowest(self, sizes: np.ndarray) -> tuple[str, float]:
+        """The language with the smallest size, and by what share of it the next one is larger."""
         best = int(sizes.argmin())
         second = int(np.delete(sizes, best).min())
         return self.langs[best], float((second - sizes[best]) / second)
