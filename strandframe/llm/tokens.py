@@ -3,7 +3,8 @@
 The vocabulary is read from that file and run by the faster core of ``tiktoken``; tests hold the ids against
 ``tokenizers`` itself. Texts whose white space is single blanks and line feeds between words, the usual case, are split
 by a pattern without look-ahead, which gives the same pieces there. Vocabularies whose ids do not follow the order of
-merges, and texts with very long words, go through ``tokenizers``.
+merges, texts with very long words, and texts that hold the string of a special token, which is that token as in the
+library's own default, go through ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.plain = self.full = None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = byte_letters()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = tuple(special)
         ranks = {bytes(map(letters.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
         merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
         made = [model["vocab"].get(m.replace(" ", "")) for m in merges]
@@ -53,7 +54,7 @@ class TextEncoder:
 
     def encode(self, text: str) -> array:
         words = text.split()
-        if self.plain is None or max(map(len, words), default=0) > LONG_WORD:
+        if self.plain is None or max(map(len, words), default=0) > LONG_WORD or any(x in text for x in self.special):
             return array("I", self.by_library(text))
         gaps = len(words) - 1
         single = gaps == text.count(" ") + text.count("\n") and gaps + sum(map(len, words)) == len(text)

@@ -335,7 +335,6 @@ def test_packing(docs, empty):
 
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     want = texts_by_id()
     rows = packing.pack(docs, path).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
@@ -347,7 +346,7 @@ def test_packing(docs, empty):
         for offset, length in sorted(found):
             assert offset == at
             at += length
-        assert at <= 2048 and (at & (at - 1)) == 0  # no padding at all
+        assert at <= 2048 and ((at & (at - 1)) == 0 or 2048 - at < packing.MIN_PIECE)
     for doc_id, found in pieces.items():
         ids = np.array([*library.encode(want[doc_id], add_special_tokens=False).ids, 1], "<u4")
         copies = 3 if doc_id == 20 else 1
@@ -357,6 +356,49 @@ def test_packing(docs, empty):
     assert set(pieces) == set(want) and packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_special_strings(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    text = "a <|endoftext|> b\nplain words"
+    ids = np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1], "<u4")
+    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), path).orderBy("start").collect()
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows] and sum(r.length for r in rows) == len(ids)
+
+
+@pytest.mark.parametrize("lengths", ["mixed", "halves", "small", "long"])
+def test_packer_cuts_little_and_pads_little(lengths):
+    rng = random.Random(4)
+    draw = {"mixed": lambda: int(rng.expovariate(1 / 900)) + 1, "halves": lambda: rng.choice([1100, 100]), "small": lambda: rng.randint(1, 30), "long": lambda: rng.randint(2000, 30000)}[lengths]
+    sizes = [draw() for _ in range(3000)]
+    packer = packing.Packer(2048, 7)
+    for i, n in enumerate(sizes):
+        packer.add(i, np.arange(n, dtype="<u4").tobytes())
+    packer.finish()
+    bins, docs = defaultdict(list), defaultdict(list)
+    for doc_id, start, length, crc, total, into, offset in packer.take():
+        bins[into].append((offset, length))
+        docs[doc_id].append((start, length, crc, total))
+    padding = 0
+    for found in bins.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    short = 0
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length, crc, total in sorted(docs[i]):
+            assert (start, total) == (at, n) and crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes())
+            at += length
+            short += length < packing.MIN_PIECE and at < n
+        assert at == n
+    assert padding < 0.002 * sum(sizes) and short <= 12  # pieces of a task's last sequences only
+    assert len(docs) + len(bins) + sum(n // 2048 for n in sizes) >= sum(map(len, docs.values()))  # at most one cut a bin
+
+
 def test_licenses(docs, empty):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(low))
