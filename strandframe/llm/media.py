@@ -30,6 +30,8 @@ UNIT, COLUMNS, ROWS, RATE = 192, 3, 16, 25
 WINDOW, SPREAD, FLOOR, BINS = 12, 3.0, 0.25, 32
 #: Rows that are coded or decoded together.
 AT_ONCE = 8192
+#: Blocks of frames that are decoded together.
+DECODED = 1 << 16
 #: Largest magnitude of a coefficient.
 REACH = 2047
 
@@ -507,6 +509,19 @@ class Movie:
         return shots(self.counts)
 
 
+def parts(members: list[tuple[int, Frame]]) -> Iterator[list[tuple[int, Frame]]]:
+    """Frames in runs of about DECODED blocks, so that decoding one very long file takes no more than that at a time."""
+    run, blocks = [], 0
+    for member in members:
+        own = -(-member[1].width // 8) * -(-member[1].height // 8)
+        if run and blocks + own > DECODED:
+            yield run
+            run, blocks = [], 0
+        run.append(member)
+        blocks += own
+    yield run
+
+
 def read(media: list[bytes]) -> list[Movie]:
     """Movies of several files; frames with the same tables are decoded together."""
     parsed = []
@@ -518,7 +533,7 @@ def read(media: list[bytes]) -> list[Movie]:
         for f in frames:
             groups.setdefault((f.quantisers, f.scan, f.luma), []).append((i, f))
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for (quantisers, *_), members in groups.items():
+    for (quantisers, *_), members in ((key, part) for key, whole in groups.items() for part in parts(whole)):
         decoded = decode_coefficients([f for _, f in members])
         blocks = [-(-f.width // 8) * -(-f.height // 8) for _, f in members]
         counts = histograms(decoded, quantisers, blocks)
