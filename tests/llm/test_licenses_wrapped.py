@@ -41,5 +41,11 @@ def test_wrapped_notices(spark):
         assert [tuple(b) for b in got[i].blocks] == brute(text or ""), text
         if label:
             assert label in got[i].labels.split(",") and got[i].score == 1.0, text
-    # bsd and mpl have no base phrase: without their blocks they have neither label nor score
-    assert {label for label, _ in cases if label and label not in licenses.PHRASES.values()} == {"cc-by-nc", "bsd", "mpl"}
+    # these have no base phrase: without their blocks they have neither label nor score
+    assert {label for label, _ in cases if label and label not in licenses.PHRASES.values()} == {"cc-by-nc", "bsd", "mpl", "isc"}
+
+
+def test_repeated_rows_each_give_a_row(spark):
+    rows = [(1, "MIT License\nreleased under the MIT license")] * 3 + [(None, "released under the mit license")] * 2 + [(1, "other"), (2, None), (2, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted([(r.doc_id, r.labels, r.n_base) for r in got], key=str) == sorted([(1, "mit", 2)] * 3 + [(None, "mit", 1)] * 2 + [(1, "", 0)] + [(2, "", 0)] * 2, key=str)
