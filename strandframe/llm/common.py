@@ -1,12 +1,15 @@
 """What the operators of this subpackage share: staged tables, column guards and batch iteration.
 
 Staged tables go to the folder in ``spark.checkpoint.dir``, which every executor sees, so a lost executor costs a
-re-read and not a recomputation. Only where that setting is absent (tests, a laptop) a temporary folder stands in.
+re-read and not a recomputation. Only where that setting is absent and all runs on one machine (tests, a laptop) a
+temporary folder stands in; a cluster without it is an error.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +26,17 @@ _local_root: str | None = None
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is set."""
+    """The shared folder of the cluster, or a temporary one where none is set and the executors run here."""
     global _local_root
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if _local_root is None:
-        _local_root = "file://" + tempfile.mkdtemp(prefix="strandframe-")
+        folder = tempfile.mkdtemp(prefix="strandframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_root = "file://" + folder
     return _local_root
 
 
@@ -70,6 +77,23 @@ class Staging:
             fs.delete(p, True)
 
 
+def hot_above(spark: SparkSession, rows: int) -> int:
+    """Rows of one key beyond which it is hot. So there are at most four hot keys a shuffle partition."""
+    return max(1000, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: list[str], hot: int) -> DataFrame:
+    """Inner join with right, whose keys are unique and whose column n counts their rows in left; it gives no column n.
+
+    Rows of hot keys (n above hot) stay where they are: what right says of these keys is little and goes to them.
+    """
+    values = [c for c in right.columns if c not in (*key, "n")]
+    sent = right.filter(F.col("n") > hot).select(*key, F.struct(*(F.col(c).alias(c) for c in values)).alias("hot_values"))
+    marked = left.join(F.broadcast(sent), key, "left")
+    rest = marked.filter("hot_values is null").drop("hot_values").join(right.filter(F.col("n") <= hot).drop("n"), key)
+    return marked.filter("hot_values is not null").select(*left.columns, "hot_values.*").unionByName(rest)
+
+
 def need(df: DataFrame, *names: str) -> None:
     """Raises where a column is missing; extra columns are no concern of an operator."""
     if missing := [n for n in names if n not in df.columns]:

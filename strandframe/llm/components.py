@@ -1,8 +1,9 @@
 """Connected components of a table of links, by large stars and small stars in turn.
 
 Both steps keep every component connected and hang its nodes on smaller ones, until each hangs on the smallest. A node
-with very many links is only ever aggregated to its smallest neighbour and joined back to its links; no list of
-neighbours is made. Every round is a written table, so neither lineage nor a lost executor costs more than a round.
+with very many links is only ever aggregated to its smallest neighbour, which is then sent to its links where they are;
+no list of neighbours is made. Every round is a written table, so neither lineage nor a lost executor costs more than a
+round.
 """
 
 from __future__ import annotations
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging
+from .common import Staging, hot_above, join_hot
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, hot: int) -> DataFrame:
     """Larger neighbours of every node hang on its smallest neighbour (or itself)."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_hot(both.filter("b > a"), least, ["a"], hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, hot: int) -> DataFrame:
     """Smaller neighbours of every node, and it, hang on the smallest of them. links: a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(links, least, ["a"], hot).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,7 +37,8 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
         if mark == seen or not mark[0]:
             break
         seen = mark
-        nxt = staging.write(_small(_large(now)), "links")
+        hot = hot_above(links.sparkSession, 2 * mark[0])
+        nxt = staging.write(_small(_large(now, hot), hot), "links")
         staging.drop(now)
         now = nxt
     else:

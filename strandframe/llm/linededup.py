@@ -2,15 +2,17 @@
 
 Every line's key (stripped of ASCII white space, A-Z lower-cased) becomes a 128-bit hash. Rows of hash, document and
 position are range-partitioned and sorted by all of these, so a very frequent line is spread over neighbouring tasks by
-document. Each task streams its rows once, with a few lines of state, and tells which positions go. Only the first and
-the last key of a task can go on in another one; their rows are
-counted together afterwards. Per document, the lines to keep become one compressed bitmap; texts are not shuffled but for the join with it.
+document. Each task streams its rows once, with a few batches of state, and tells which positions go. Only the first and
+the last key of a task can go on in another one; their rows are counted together afterwards, and what comes of these
+keys, at most two a task, is broadcast to them. Per document, the lines that go become one compressed bitmap; texts are
+not shuffled but for the join with it.
 
 Policies: ``first`` keeps a key's first occurrence (smallest document, then position), ``shared`` drops all lines whose
 key is found in at least min_docs documents, ``shared_but_first`` drops these but for the key's first occurrence.
 
 A document is a distinct pair of doc_id and text; its copies in repeated rows share one bitmap. Null or empty texts are
-one empty line. Empty keys stay. A null doc_id is an id like others, the smallest. Extra columns are kept by ``apply``.
+one empty line. Empty keys stay. A null doc_id is an id like others, the smallest. Very long texts are read whole, a
+text at a time. Empty tables give empty results. Extra columns are kept by ``apply``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import Staging, need, slices, small_batches
 
+#: Batches of one key that a task holds before it settles what it can of them.
+HELD = 16
 ROWS = "h1 long, h2 long, has_id byte, id long, text_h long, pos int"
 
 
@@ -99,6 +103,25 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool, spare
             rows = [r[:1] for r in rows]
         yield emit(rows, True)
 
+    def lighten() -> Iterator[pa.RecordBatch]:
+        """Settles rows of a key that fills many batches; of these, kept holds on to what later rows depend on."""
+        nonlocal kept
+        rows = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        stay = np.zeros(len(rows[0]), bool)
+        if first:
+            stay[0] = True
+        elif not seen_first:  # open whatever comes
+            stay[-1] = True
+        else:
+            begin = np.flatnonzero(documents(rows))[:min_docs]
+            if len(begin) < min_docs:
+                return
+            stay[begin] = True
+            if spare:  # rows like the first one stay with it
+                stay |= np.all([r == r[0] for r in rows[2:]], axis=0)
+        yield emit([r[~stay] for r in rows], not first and not seen_first)
+        kept = [[r[stay] for r in rows]]
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -110,6 +133,8 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool, spare
         starts = np.flatnonzero(begins)
         if not len(starts):
             kept.append(rows)
+            if len(kept) > HELD:
+                yield from lighten()
             continue
         if kept:
             kept.append([r[: starts[0]] for r in rows])
@@ -150,17 +175,18 @@ def bitmaps(docs: DataFrame, policy: str = "shared", min_docs: int = 10, min_cha
     # repeated rows of a document say the same thing
     found = staging.write(dealt.mapInArrow(lambda b: _stream(b, min_docs, first, spare), f"{ROWS}, open boolean"), "found")
     key = ["h1", "h2"]
+    # the open keys are the first and the last one of each task, so what is told of them may be broadcast
     opened = found.filter("open")
     settled = found.filter("not open").select("has_id", "id", "text_h", "pos")
     if first:
         kept = opened.groupBy(*key).agg(F.min(F.struct("has_id", "id", "text_h", "pos")).alias("kept"))  # the first over all tasks
-        late = opened.join(kept, key).filter("struct(has_id, id, text_h, pos) <> kept")
+        late = opened.join(F.broadcast(kept), key).filter("struct(has_id, id, text_h, pos) <> kept")
     else:
         frequent = opened.select(*key, "has_id", "id", "text_h").distinct().groupBy(*key).count().filter(F.col("count") >= min_docs)
-        late = opened.join(frequent.select(*key), key)
+        late = opened.join(F.broadcast(frequent.select(*key)), key)
         if spare:
             kept = opened.groupBy(*key).agg(F.min(F.struct("has_id", "id", "text_h", "pos")).alias("kept"))
-            late = late.join(kept, key).filter("struct(has_id, id, text_h, pos) <> kept")
+            late = late.join(F.broadcast(kept), key).filter("struct(has_id, id, text_h, pos) <> kept")
     gone = settled.union(late.select("has_id", "id", "text_h", "pos"))
 
     def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, need
+from .common import Staging, hot_above, join_hot, need
 
 CELLS = 512
 #: A median's cell is fine enough when it holds this share of a shard's bytes.
@@ -70,7 +70,7 @@ def _halve(here: DataFrame, point: Column, inside: Column, bounds: dict[int, tup
 
 
 def split(points: DataFrame, dimensions: list[str], leaves: int, staging: Staging) -> DataFrame:
-    """points: dimensions, tie (double, nearly unique) and bytes. Adds shard, 0 to leaves - 1 (a power of two)."""
+    """points: dimensions, tie (double, nearly unique), bytes and three more columns. Adds shard, 0 to leaves - 1 (a power of two)."""
     depth = int(math.log2(leaves))
     if 1 << depth != leaves:
         raise ValueError("the number of shards has to be a power of two")
@@ -102,7 +102,7 @@ def split(points: DataFrame, dimensions: list[str], leaves: int, staging: Stagin
                 cuts[k] = (single[k], v if whole else math.nextafter(v, -math.inf))
         at, tie = _literal(n, {k: v[0] for k, v in cuts.items()}), _literal(n, {k: v[1] for k, v in cuts.items()})
         left = (value < at) | ((value == at) & (F.col("tie") <= tie))
-        previous, points = points, staging.write(here.withColumn("kd_node", n * 2 + F.when(left, 0).otherwise(1)).select(*points.columns[: len(dimensions) + 4], "kd_node"), "nodes")
+        previous, points = points, staging.write(here.withColumn("kd_node", n * 2 + F.when(left, 0).otherwise(1)).select(*points.columns[: len(dimensions) + 5], "kd_node"), "nodes")
         staging.drop(previous)
         node = F.col("kd_node")
     return points.withColumn("shard", node.cast("int"))
@@ -126,11 +126,12 @@ def shard(docs: DataFrame, dimensions: dict[str, Column] | None = None, shards:
     )
     # 53 bits of the hash are exact in a double
     tie = F.shiftrightunsigned("h1", 11).cast("double")
-    points = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), *(F.min(k).alias(k) for k in named)).select(*named, tie.alias("tie"), "bytes", "h1", "h2")
-    placed = split(staging.write(points, "groups"), list(named), shards, staging).select("h1", "h2", "shard")
+    points = staging.write(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *(F.min(k).alias(k) for k in named)).select(*named, tie.alias("tie"), "bytes", "h1", "h2", "n"), "groups")
+    hot = hot_above(spark, points.agg(F.sum("n")).first()[0] or 0)
+    placed = split(points, list(named), shards, staging).select("h1", "h2", "n", "shard")
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod(F.xxhash64("doc_id", "h1"), F.lit(buckets)).cast("int")
-    dealt = staging.write(rows.select("doc_id", "size", "text_crc32", "h1", "h2").join(placed, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket")), "placed")
+    dealt = staging.write(join_hot(rows.select("doc_id", "size", "text_crc32", "h1", "h2"), placed, ["h1", "h2"], hot).select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket")), "placed")
     # at most shards x buckets rows
     counts = sorted(dealt.groupBy("shard", "bucket").count().collect())
     first, seen = [], {}

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, need, slices, small_batches, text_key
+from .common import Staging, hot_above, join_hot, need, slices, small_batches, text_key
 from .components import components
 
 SEED = 42
@@ -295,9 +295,10 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     staging = Staging(docs.sparkSession, "simhash")
     marked = staging.write(fingerprints(docs, words), "fingerprints")
     # a fingerprint's own name: the 64 bits themselves
-    distinct = staging.write(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.col("fp").alias("node")), "distinct")
+    distinct = staging.write(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).select("fp", "least", "n", F.col("fp").alias("node")), "distinct")
     named = _named(distinct, _links(_deal(distinct), 3), staging)
-    out = marked.join(named.select("fp", "component_id"), "fp")
+    hot = hot_above(docs.sparkSession, distinct.agg(F.sum("n")).first()[0] or 0)
+    out = join_hot(marked, named.select("fp", "component_id", "n"), ["fp"], hot)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -377,8 +378,10 @@ def _proposed(nodes: DataFrame, distance: int) -> DataFrame:
             for i, j, differ in close_pairs(table.column("anchor").to_numpy(), bits, distance):
                 # both ends of a pair see the same hash, whichever comes first
                 chance = pick_of(i, j) >> np.uint64(32) << np.uint64(32)
+                # of equally near ones the pick, too, so that no node is everyone's nearest
+                near = differ.astype(np.uint64) << np.uint64(56) | chance >> np.uint64(8) & ~np.uint64(2**32 - 1)
                 for x, y in ((i, j), (j, i)):
-                    nearest[x] = np.minimum(nearest[x], differ.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
+                    nearest[x] = np.minimum(nearest[x], near | y.astype(np.uint64))
                     picked[x] = np.minimum(picked[x], chance | y.astype(np.uint64))
             for best in (nearest, picked):
                 i = np.flatnonzero(best != none)
@@ -498,12 +501,12 @@ def _linked(docs: DataFrame, staging: Staging, words: int, similarity: float, sl
     distinct = staging.write(marked.groupBy("node").agg(prints["fp"].alias("fp"), prints["fp2"].alias("fp2"), F.min("doc_id").alias("least"), F.min(_row()).alias("first")), "distinct")
     both = staging.write(_proposed(distinct, distance), "proposed")
     ends = both.select(F.col("a").alias("node"), "differ", "pick", F.col("b").alias("other"))
-    best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
+    best = ends.groupBy("node").agg(F.min_by("other", F.struct("differ", "pick", "other")).alias("near"), F.min_by("other", F.struct("pick", "other")).alias("some"))
     first = best.select(F.col("node").alias("a"), F.explode(F.array("near", "some")).alias("b"))
     first = staging.write(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # only what has a partner is compared any further
     active = best.select("node")
-    sets = staging.write(marked.select("node", "shingles").join(active, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = staging.write(marked.groupBy("node").agg(F.first("shingles").alias("shingles")).join(active, "node"), "sets")
     links = staging.write(_counted(first, sets, similarity), "links")
     roots = components(links, staging)
     apart = distinct.join(active, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
