@@ -334,7 +334,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH u AS (SELECT o_orderkey AS k, avg(l_quantity) - avg(l_extendedprice) / 1500 AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1), o AS (SELECT avg(d) AS o FROM u),
-  m AS (SELECT t, avg(CASE WHEN {h("'perm|' || t || '|' || k")} % 2 = 0 THEN d ELSE -d END) AS m FROM u, (SELECT unnest(range(0, 100)) AS t) GROUP BY 1)
+  m AS (SELECT t, avg(CASE WHEN ({h("'perm|' || t // 30 || '|' || k")} >> (t % 30)::int) % 2 = 0 THEN d ELSE -d END) AS m FROM u, (SELECT unnest(range(0, 100)) AS t) GROUP BY 1)
   SELECT round(o, 6) AS observed, round((count(*) FILTER (abs(m) >= abs(o) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM m, o GROUP BY o""")
 def permutation_p(spark: SparkSession, d: str) -> DataFrame:
     units = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.avg("l_quantity").alias("a"), (F.avg("l_extendedprice") / 1500).alias("b"))
@@ -450,7 +450,7 @@ def long_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, 'DOC_' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::varchar, 12, '0') AS sequence_id FROM documents")
 def sequence_ids(spark: SparkSession, d: str) -> DataFrame:
-    from .sources.sequences import numbered
+    from .operators.ranges import numbered
 
     docs = numbered(read(spark, d, "documents").select("doc_id"), ["doc_id"], "n")
     return docs.select("doc_id", sequences.sequence_id("DOC", F.col("n")).alias("sequence_id"))

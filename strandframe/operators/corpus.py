@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import ambiguous
+from .ranges import counted, percentiles
 from .tables import deduped, remap, require
 
 
@@ -52,8 +53,11 @@ def assemble(base: DataFrame, clusters: DataFrame, dataset_id: str, scores: Data
     require(clusters, "sequence_id")
     if scores is None and on_missing_scores == "error":
         raise ValueError("there are no scores")
-    out = base.join(clusters, "sequence_id").withColumn("dataset_id", F.lit(dataset_id)).withColumn("sequence_length", F.length("sequence").cast("int"))
-    return out if scores is None else out.join(scores, "sequence_id")
+    # ids first: texts are shuffled once, and only against the rows that stay
+    kept = clusters if scores is None else clusters.join(scores, "sequence_id")
+    added = [c for c in clusters.columns if c != "sequence_id"], [c for c in (scores.columns if scores is not None else []) if c != "sequence_id"]
+    own = [F.lit(dataset_id).alias("dataset_id"), F.length("sequence").cast("int").alias("sequence_length")]
+    return base.join(kept, "sequence_id").select(*base.columns, *added[0], *own, *added[1])
 
 
 def statistics(table: DataFrame, score: str | None = "score") -> DataFrame:
@@ -61,14 +65,15 @@ def statistics(table: DataFrame, score: str | None = "score") -> DataFrame:
     n = F.col("sequence_length")
     marks = ambiguous(F.col("sequence"))
     found = [
-        F.count("*").alias("num_rows"), F.min(n).alias("length_min"), F.max(n).alias("length_max"), F.avg(n).alias("length_mean"), F.median(n).alias("length_median"),
+        F.count("*").alias("num_rows"), F.min(n).alias("length_min"), F.max(n).alias("length_max"), F.avg(n).alias("length_mean"),
         F.stddev_samp(n).alias("length_std"), F.sum(n).cast("long").alias("length_sum"), F.sum(marks).cast("long").alias("ambiguous_total"),
         F.count_if(marks > 0).alias("ambiguous_rows"), F.try_divide(F.sum(marks), F.sum(n)).alias("ambiguous_fraction"),
     ]
     if score:
         s = F.col(score).cast("double")
-        found += [f(s).alias(f"score_{name}") for name, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("var", F.var_samp), ("min", F.min), ("max", F.max))]
-    return table.agg(*found)
+        found += [f(s).alias(f"score_{name}") for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("var", F.var_samp), ("min", F.min), ("max", F.max))]
+    out = table.agg(*found).join(F.broadcast(percentiles(table, [], "sequence_length", {"length_median": 0.5})), how="left")  # one row each
+    return out.join(F.broadcast(percentiles(table, [], score, {"score_median": 0.5})), how="left") if score else out
 
 
 def quantiles(table: DataFrame, value: str, shares: list[float]) -> DataFrame:
@@ -77,12 +82,10 @@ def quantiles(table: DataFrame, value: str, shares: list[float]) -> DataFrame:
     Values are counted first, so the running sum goes over distinct ones.
     """
     shares = sorted({*shares, 0.25, 0.5, 0.75})
-    counts = table.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    total = counts.agg(F.sum("c").alias("n"))
-    q = F.explode(F.array(*map(F.lit, shares))).alias("quantile")
-    places = total.select(q, "n").withColumn("place", F.bround(F.col("quantile") * (F.col("n") - 1)).cast("long"))
-    return upto.join(F.broadcast(places), F.col("place") < F.col("upto")).groupBy("quantile").agg(F.min("v").alias("value"))  # places are few
+    c = counted(table, [], value)
+    place = lambda q: F.bround(F.col("n") * q - q).cast("long")
+    here = F.filter(F.array(*(F.struct(F.lit(q).alias("quantile"), place(q).alias("place")) for q in shares)), lambda x: (x["place"] < F.col("upto")) & (x["place"] >= F.col("upto") - F.col("c")))
+    return c.select("v", F.explode(here).alias("x")).select("x.quantile", F.col("v").alias("value"))
 
 
 def mode(table: DataFrame, value: str) -> DataFrame:
@@ -103,7 +106,8 @@ def histogram(table: DataFrame, value: str, bins: int = 50) -> DataFrame:
 def box(table: DataFrame, value: str) -> DataFrame:
     """Tukey's box: quartiles (linear), whiskers at 1.5 interquartile ranges but within the values."""
     v = F.col(value).cast("double")
-    q = table.agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("q2"), F.percentile(v, 0.75).alias("q3"), F.min(v).alias("least"), F.max(v).alias("most"))
+    ends = table.agg(F.min(v).alias("least"), F.max(v).alias("most"))
+    q = percentiles(table, [], value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).join(F.broadcast(ends))  # one row each
     reach = (F.col("q3") - F.col("q1")) * 1.5
     return q.select("q1", "q2", "q3", F.greatest("least", F.col("q1") - reach).alias("whisker_low"), F.least("most", F.col("q3") + reach).alias("whisker_high"))
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60, key, md5_mod
+from .ranges import numbered
 
 
 def is_held_out(cluster: Column, modulus: int = 20) -> Column:
@@ -30,16 +31,22 @@ def valid_counts(table: DataFrame, cluster: str, score: str, threshold: float) -
     return table.groupBy(cluster).agg(F.count_if(F.col(score) >= threshold).alias("valid"))
 
 
-def threshold(kind: str, start: float, end: float, epoch: int, ramp: int) -> float:
-    """The score threshold of an epoch: linear, cosine or exponential from start to end over `ramp` epochs, then flat."""
-    x = 1.0 if ramp <= 0 else min(1.0, epoch / ramp)
-    if kind == "linear":
-        return start + (end - start) * x
-    if kind == "cosine":
-        return start + (end - start) * (1 - math.cos(math.pi * x)) / 2
-    if kind == "exponential":
-        return start * (end / start) ** x if start > 0 else end * (math.expm1(x) / math.expm1(1))
-    raise ValueError(f"no such ramp: {kind}")
+#: Share of the way from the start to the end of a ramp, by the share x of its epochs, for ramps that blend linearly.
+BLENDS: dict[str, Callable[[Column], Column]] = {"linear": lambda x: x, "cosine": lambda x: F.pow(F.sin(x * (math.pi / 2)), F.lit(2.0))}
+
+
+def ramped(epoch: Column, kind: str, start: float, end: float, over: int) -> Column:
+    """The score threshold of an epoch on its way from start to end over some epochs, then flat; a column, so a plan of all epochs is one table.
+
+    `exponential` is the geometric blend; from a start of 0, which that cannot leave, it is the blend of exp(x) - 1.
+    """
+    x = F.least(F.lit(1.0), epoch / float(over)) if over > 0 else F.lit(1.0)
+    if kind == "exponential" and start > 0:
+        return F.exp((1 - x) * math.log(start) + x * math.log(end))
+    shares = BLENDS | {"exponential": lambda t: F.expm1(t) / math.expm1(1.0)}
+    if kind not in shares:
+        raise ValueError(f"no such ramp: {kind}")
+    return F.lit(float(start)) + shares[kind](x) * (end - start)
 
 
 def pick(index: DataFrame, counts: DataFrame, cluster: str, seed: str) -> DataFrame:
@@ -53,7 +60,8 @@ def keep_fraction(table: DataFrame, fraction: float, id_column: str, seed: str)
     if fraction <= 0:
         return table.limit(0)
     most = max(1, round(table.count() * fraction))
-    return table.orderBy(h60(key(seed, F.col(id_column))), id_column).limit(most)
+    dealt = numbered(table.withColumn("_h", h60(key(seed, F.col(id_column)))), ["_h", id_column], "_n")
+    return dealt.filter(F.col("_n") < most).select(*table.columns)
 
 
 def epoch_plan(picked: dict[str, DataFrame], row_id: str, length: str, seed: str) -> DataFrame:
@@ -93,5 +101,5 @@ def pack_batches(rows: DataFrame, partition: str, order: str, length: str, budge
 
 def folds(table: DataFrame, id_column: str, k: int, seed: str) -> DataFrame:
     """fold of every row: rows in hash order are dealt out in turn."""
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(h60(key(seed, F.col(id_column))), id_column))
-    return table.withColumn("fold", ((rank - 1) % k).cast("int"))
+    dealt = numbered(table.withColumn("_h", h60(key(seed, F.col(id_column)))), ["_h", id_column], "_n")
+    return dealt.select(*table.columns, (F.col("_n") % k).cast("int").alias("fold"))

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60, key
+from .ranges import numbered
 
+#: Permutations that the bits of one hash decide on.
+BITS = 30
+
+#: Metrics of which less is better.
 LOWER_IS_BETTER = {"mse", "mae", "pseudo_perplexity", "kl_t", "kl_nt", "kl_high_nt"}
 
 
@@ -15,7 +20,7 @@ def resamples(units: DataFrame, order: str, times: int, seed: str) -> DataFrame:
 
     Draw d of resample b takes the unit at place h60(seed|b|d) mod n, so draws are multinomial and the same everywhere.
     """
-    placed = units.withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    placed = numbered(units, [order], "_place")
     draws = placed.select("_place", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("resample")).withColumnRenamed("_place", "_draw")
     n = units.agg(F.count("*").alias("_n"))
     drawn = draws.join(F.broadcast(n)).select("resample", (h60(key(seed, F.col("resample"), F.col("_draw"))) % F.col("_n")).alias("_place"))
@@ -29,13 +34,18 @@ def interval(values: DataFrame, keys: list[str], value: str, alpha: float = 0.05
 
 
 def permutation_p(units: DataFrame, unit: str, a: str, b: str, times: int, seed: str, two_sided: bool = False, lower_is_better: bool = False) -> DataFrame:
-    """Paired test of mean(a) against mean(b): each permutation swaps a unit's pair with probability 1/2; p = (k + 1) / (valid + 1)."""
+    """Paired test of mean(a) against mean(b): each permutation swaps a unit's pair with probability 1/2; p = (k + 1) / (valid + 1).
+
+    Permutation t takes bit t mod BITS of the hash of seed, t / BITS and unit, so a unit is read times / BITS times and
+    its differences are added up where they are.
+    """
     d = (F.col(a) - F.col(b)).cast("double") * (-1 if lower_is_better else 1)
     each = units.select(unit, d.alias("d")).filter(F.col("d").isNotNull() & ~F.isnan("d"))
     observed = each.agg(F.avg("d").alias("observed"))
-    swapped = each.select(unit, "d", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("t"))
-    sign = F.when(h60(key(seed, F.col("t"), F.col(unit))) % 2 == 0, 1.0).otherwise(-1.0)
-    means = swapped.groupBy("t").agg(F.avg(F.col("d") * sign).alias("m"))
+    dealt = each.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(-(-times // BITS) - 1)))).withColumn("h", h60(key(seed, F.col("c"), F.col(unit))))
+    kept = lambda j: F.call_function("shiftright", F.col("h"), F.lit(j)).bitwiseAND(F.lit(1)) == 0
+    added = dealt.groupBy("c").agg(*(F.avg(F.when(kept(j), F.col("d")).otherwise(-F.col("d"))).alias(f"m{j}") for j in range(BITS)))
+    means = added.select(F.posexplode(F.array(*(f"m{j}" for j in range(BITS)))).alias("j", "m"), "c").filter(F.col("c") * BITS + F.col("j") < times)
     size: Column = F.abs("m") >= F.abs("observed") - 1e-12 if two_sided else F.col("m") >= F.col("observed") - 1e-12
     return means.join(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(size) + 1) / (F.count("*") + 1)).alias("p"))
 

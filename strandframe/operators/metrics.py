@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import percentiles, running
 from .tables import mean
 
 
@@ -12,15 +13,19 @@ def confusion(table: DataFrame, keys: list[str], label: str, prediction: str) ->
     return table.groupBy(*keys, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def classification(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """accuracy, macro and weighted precision, recall and F1, and MCC (0 where a side is constant) of confusion counts; a division by zero is 0."""
+def classification(counts: DataFrame, keys: list[str], classes: list | None = None) -> DataFrame:
+    """accuracy (which micro averages equal), macro and weighted precision, recall and F1, and MCC (0 where a side is constant) of confusion counts; a division by zero is 0.
+
+    Macro averages go over the classes that occur, or over the given ones.
+    """
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     each = counts.select(*keys, F.explode(F.array(F.struct(F.col("label").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p")), F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p")))).alias("x"), "n", "label", "prediction")
     hit = F.when((F.col("label") == F.col("prediction")) & (F.col("x.t") > 0), F.col("n")).otherwise(0)
     one = each.groupBy(*keys, F.col("x.c").alias("c")).agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"), F.sum(hit).alias("hit"))
     one = one.withColumn("precision", ratio(F.col("hit"), F.col("p"))).withColumn("recall", ratio(F.col("hit"), F.col("t")))
     one = one.withColumn("f1", ratio(2 * F.col("hit"), F.col("t") + F.col("p")))
-    parts = [f(x) for x in ("precision", "recall", "f1") for f in (lambda x: F.avg(x).alias(f"{x}_macro"), lambda x: ratio(F.sum(F.col(x) * F.col("t")), F.sum("t")).alias(f"{x}_weighted"))]
+    macro = (lambda x: F.avg(x)) if classes is None else (lambda x: F.sum(F.when(F.col("c").isin(*classes), F.col(x)).otherwise(0.0)) / len(classes))
+    parts = [f(x) for x in ("precision", "recall", "f1") for f in (lambda x: macro(x).alias(f"{x}_macro"), lambda x: ratio(F.sum(F.col(x) * F.col("t")), F.sum("t")).alias(f"{x}_weighted"))]
     d = lambda x: F.sum(x).cast("double")
     out = one.groupBy(*keys).agg(*parts, d("t").alias("s"), d("hit").alias("c"), F.sum(F.col("t") * F.col("p")).cast("double").alias("tp"), F.sum(F.col("t") * F.col("t")).cast("double").alias("tt"), F.sum(F.col("p") * F.col("p")).cast("double").alias("pp"))
     s2 = F.col("s") * F.col("s")
@@ -38,9 +43,13 @@ def regression(table: DataFrame, keys: list[str], label: str, prediction: str) -
 
 
 def average_ranks(table: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, equal values sharing their mean."""
-    w = Window.partitionBy(*keys or [F.lit(0)])
-    return table.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys or [F.lit(0)], value)) - 1) / 2)
+    """Ranks from 1, equal values sharing their mean; null values have none. Ranks come from the counts of values, so a group may be as large as it likes."""
+    counts = table.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranked = running(counts, keys, [value], {"_upto": F.col("_c")}).select(*(F.col(k).alias(f"_{k}_of") for k in keys), F.col(value).alias("_value"), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    same = F.col(value) == F.col("_value")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}_of"))
+    return table.join(ranked, same, "left").select(*table.columns, name)
 
 
 def spearman(table: DataFrame, keys: list[str], label: str, prediction: str) -> DataFrame:
@@ -48,44 +57,46 @@ def spearman(table: DataFrame, keys: list[str], label: str, prediction: str) ->
     return ranked.groupBy(*keys).agg(F.when((F.var_pop("_y") > 0) & (F.var_pop("_p") > 0), F.corr("_y", "_p")).alias("spearman"))
 
 
-def _by_score(table: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Positives and negatives of each distinct score; the running sums go over these, not over rows."""
+def _by_score(table: DataFrame, keys: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
+    """Positives and negatives, by weight, of each distinct score, and both up to it; the running sums go over these, not over rows."""
     y = F.col(label).cast("long")
-    return table.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    w = F.lit(1) if weight is None else F.col(weight).cast("double")
+    g = table.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(y * w).alias("pos"), F.sum((1 - y) * w).alias("neg"))
+    return running(g, keys, ["s"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
 
 
-def roc_auc(table: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+def roc_auc(table: DataFrame, keys: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
     """Binary ROC-AUC, ties counting half; null with one class only."""
-    part = keys or [F.lit(0)]
-    below = F.sum("neg").over(Window.partitionBy(*part).orderBy("s")) - F.col("neg")
-    g = _by_score(table, keys, label, score).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    g = _by_score(table, keys, label, score, weight).withColumn("won", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return g.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def average_precision(table: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Precision after each group of equal scores, weighted by its positives; 0 without positives."""
-    w = Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("s"))
-    g = _by_score(table, keys, label, score)
-    g = g.withColumn("precision", F.sum("pos").over(w) / F.sum(F.col("pos") + F.col("neg")).over(w))
+    low = table.withColumn("_s", -F.col(score).cast("double"))
+    g = _by_score(low, keys, label, "_s").withColumn("precision", F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))
     return g.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")), F.lit(0.0)).alias("average_precision"))
 
 
 def ndcg(table: DataFrame, keys: list[str], label: str, prediction: str, id_column: str, share: float = 0.1) -> DataFrame:
     """NDCG of the top share by prediction; gains are labels scaled to 0..1, ties go by id."""
-    part = keys or [F.lit(0)]
-    w = Window.partitionBy(*part)
     y = F.col(label).cast("double")
-    t = table.withColumn("_low", F.min(y).over(w)).withColumn("_high", F.max(y).over(w)).withColumn("_k", F.floor(F.count("*").over(w) * share))
-    t = t.withColumn("_g", F.coalesce(F.try_divide(y - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)))
-    t = t.withColumn("_r", F.row_number().over(w.orderBy(F.desc(prediction), id_column))).withColumn("_i", F.row_number().over(w.orderBy(F.desc("_g"), id_column)))
+    ends = table.groupBy(*keys).agg(F.min(y).alias("_low"), F.max(y).alias("_high"), F.floor(F.count("*") * share).alias("_k"))
+    t = table.select(*keys, y.alias("_y"), (-F.col(prediction).cast("double")).alias("_p"), (-y).alias("_ny"), F.col(id_column).alias("_id"))
+    t = running(running(t, keys, ["_p", "_id"], {"_r": F.lit(1)}), keys, ["_ny", "_id"], {"_i": F.lit(1)})
+    t = t.join(ends, keys) if keys else t.join(F.broadcast(ends))  # one row
+    t = t.filter((F.col("_r") <= F.col("_k")) | (F.col("_i") <= F.col("_k"))).withColumn("_g", F.coalesce(F.try_divide(F.col("_y") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)))
     gain = lambda r: F.sum(F.when(F.col(r) <= F.col("_k"), F.col("_g") / F.log2(F.col(r) + 1.0)).otherwise(0.0))
-    return t.groupBy(*keys).agg(F.try_divide(gain("_r"), gain("_i")).alias("ndcg"))
+    found = t.groupBy(*keys).agg(F.try_divide(gain("_r"), gain("_i")).alias("ndcg"))
+    return ends.select(*keys).join(found, keys, "left") if keys else found
 
 
 def top_recall(table: DataFrame, keys: list[str], label: str, prediction: str, share: float = 0.9) -> DataFrame:
     """Share of the rows at or above the labels' percentile that are also at or above the predictions'."""
-    cuts = table.groupBy(*keys).agg(F.percentile(F.col(label).cast("double"), share).alias("_y"), F.percentile(F.col(prediction).cast("double"), share).alias("_p"))
-    joined = table.join(cuts, keys) if keys else table.join(F.broadcast(cuts))
+    joined = table
+    for column, cut in ((label, "_y"), (prediction, "_p")):
+        cuts = percentiles(table, keys, column, {cut: share})
+        joined = joined.join(cuts, keys) if keys else joined.join(F.broadcast(cuts))  # one row
     top = F.col(label) >= F.col("_y")
     return joined.groupBy(*keys).agg(F.try_divide(F.count_if(top & (F.col(prediction) >= F.col("_p"))), F.count_if(top)).alias("top_recall"))
 
@@ -172,8 +183,8 @@ def pseudo_perplexity(table: DataFrame, keys: list[str], log_prob: str) -> DataF
 
 def assay_mcc(table: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """MCC of a binary label and scores at or above their own median; NaN where either side is constant."""
-    cuts = table.groupBy(*keys).agg(F.percentile(F.col(score).cast("double"), 0.5).alias("_cut"))
-    joined = table.join(cuts, keys) if keys else table.join(F.broadcast(cuts))
+    cuts = percentiles(table, keys, score, {"_cut": 0.5})
+    joined = table.join(cuts, keys) if keys else table.join(F.broadcast(cuts))  # one row
     y, p = F.col(label) == 1, F.col(score) >= F.col("_cut")
     counts = joined.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))

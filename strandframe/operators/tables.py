@@ -75,7 +75,7 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], default_split: st
 
 
 def subset(df: DataFrame, equal: dict[str, object], group: str | None = None) -> DataFrame:
-    """Rows that equal all values. With a group, an error unless every group that is left is left whole."""
+    """Rows that equal all values; none at all is an error. With a group, so is a group that is not left whole."""
     require(df, *equal)
     kinds = {"boolean": bool, "string": str}
     for name, value in equal.items():
@@ -84,6 +84,8 @@ def subset(df: DataFrame, equal: dict[str, object], group: str | None = None) ->
             raise TypeError(f"{name} is {kind}, and {value!r} is not")
     hit = reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in equal.items()), F.lit(True))
     out = df.filter(F.coalesce(hit, F.lit(False)))
+    if out.isEmpty():
+        raise ValueError(f"no row equals {equal}")
     if group is None:
         return out
     partial = df.groupBy(group).agg(F.count_if(hit).alias("hit"), F.count("*").alias("n")).filter("hit > 0 and hit < n")

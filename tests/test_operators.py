@@ -42,9 +42,13 @@ def test_holdout_agrees_with_integers(spark):
     assert not spark.range(1).select(curriculum.is_held_out(F.lit(None).cast("string")).alias("x")).first().x
 
 
-def test_ramps():
-    assert [round(curriculum.threshold(k, 0.1, 0.5, 5, 10), 4) for k in ("linear", "cosine")] == [0.3, 0.3]
-    assert curriculum.threshold("exponential", 0.1, 0.4, 5, 10) == pytest.approx(0.2) and curriculum.threshold("linear", 0, 1, 99, 10) == 1
+def test_ramps(spark):
+    at = lambda kind, start, end, over: [round(r[0], 6) for r in spark.range(0, 16, 5).select(curriculum.ramped(F.col("id"), kind, start, end, over)).collect()]
+    assert at("linear", 0.1, 0.5, 10) == at("cosine", 0.1, 0.5, 10) == [0.1, 0.3, 0.5, 0.5]
+    assert at("exponential", 0.1, 0.4, 10) == [0.1, 0.2, 0.4, 0.4]
+    assert at("exponential", 0.0, 1.0, 10) == [0.0, round((2.718281828459045**0.5 - 1) / 1.718281828459045, 6), 1.0, 1.0] and at("linear", 0.0, 1.0, 0) == [1.0] * 4
+    with pytest.raises(ValueError):
+        curriculum.ramped(F.lit(1), "steps", 0, 1, 2)
 
 
 def test_packing_is_greedy(spark):
@@ -110,11 +114,21 @@ def test_fasta(spark, tmp_path):
 def test_temperature_of_calibrated_sites(spark):
     import math
 
+    from strandframe.operators import calibration
+
     logits = [0.0, 1.0, 2.0]
     soft = [math.exp(x / 2) for x in logits]
     profile = [x / sum(soft) for x in soft]
-    sites = spark.createDataFrame([(f, profile, logits) for f in (0, 1, 0, 1)], "fold int, profile array<double>, logits array<double>")
-    assert {r.fold: round(r.temperature, 3) for r in baselines.temperature(sites, "fold", steps=14).collect()} == pytest.approx({0: 2.0, 1: 2.0}, abs=0.01)
+    rows = [(f, b, t, True, profile, logits) for f in (0, 1) for b in (0, 1) for t in (True, False)]
+    schema = "fold int, bin int, is_t boolean, in_balanced boolean, profile array<double>, logits array<double>"
+    got = {r.fold: (round(r.temperature, 6), r.bound) for r in calibration.temperatures(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {0: (2.0, "none"), 1: (2.0, "none")}
+    flat = [(f, 0, True, True, [1 / 3] * 3, logits) for f in (0, 1)] + [(2, 0, True, False, [1.0, 0.0, 0.0], logits)]
+    assert {r.fold: (r.temperature, r.bound) for r in calibration.temperatures(spark.createDataFrame(flat, schema)).collect()} == {f: (8.0, "upper") for f in (0, 1, 2)}
+    sharp = [(f, 0, True, True, [0.0, 0.0, 1.0], logits) for f in (0, 1)]
+    assert {r.bound for r in calibration.temperatures(spark.createDataFrame(sharp, schema)).collect()} == {"lower"}
+    one = calibration.temperatures(spark.createDataFrame(rows[:1], schema)).collect()
+    assert [(r.temperature, r.bound) for r in one] == [(None, None)]
 
 
 def test_multilabel_mcc(spark):
