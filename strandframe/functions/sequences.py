@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 AMBIGUOUS = "[XBZJ]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body refers to it, also from within lambdas."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
 def letters(sequence: Column) -> Column:
     """Characters as an array; an empty one for an empty sequence."""
     return F.filter(F.split(sequence, ""), lambda c: c != "")
@@ -34,8 +45,8 @@ def ambiguous(sequence: Column) -> Column:
 def composition(sequence: Column, alphabet: str = RESIDUES) -> Column:
     """Share of each letter of the alphabet among those that are in it; an error where none is."""
     counts = F.array(*(F.length(sequence) - F.length(F.translate(sequence, c, "")) for c in alphabet))
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(counts, lambda x: x / total)).otherwise(F.raise_error(F.lit("a sequence without canonical residues")))
+    shares = lambda c, n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(F.raise_error(F.lit("a sequence without canonical residues")))
+    return let(counts, lambda c: let(total(c), lambda n: shares(c, n)))
 
 
 def tokenise(sequence: Column, vocabulary: dict[str, int], bos: int, eos: int, unknown: int, most: int | None = None) -> Column:
@@ -87,20 +98,17 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column, floor: float = 1e-8) -> Column:
     """L2-normalised, the norm being at least floor."""
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return let(F.greatest(F.sqrt(dot(v, v)), F.lit(floor)), lambda norm: F.transform(v, lambda x: x.cast("double") / norm))
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x))
-    return F.transform(logits, lambda x: x - top - total)
+    scale = lambda top: top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
+    return let(let(F.array_max(logits), scale), lambda whole: F.transform(logits, lambda x: x - whole))
 
 
-def divergence(profile: Column, logits: Column, temperature: float = 1.0) -> Column:
+def divergence(profile: Column, logits: Column, temperature: float | Column = 1.0) -> Column:
     """KL divergence of softmax(logits / temperature) from a profile; 0 log 0 counts as 0."""
-    logs = log_softmax(F.transform(logits, lambda x: x / temperature))
-    return F.aggregate(F.zip_with(profile, logs, lambda p, q: F.when(p > 0, p * (F.log(p) - q)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    return let(F.transform(logits, lambda x: x / temperature), lambda scaled: total(F.zip_with(profile, log_softmax(scaled), lambda p, q: F.when(p > 0, p * (F.log(p) - q)).otherwise(0.0))))
 
 
 def mask_bit(mask: Column, place: Column) -> Column:

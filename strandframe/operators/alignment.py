@@ -94,10 +94,14 @@ def first_seen(rows: DataFrame, id_column: str, order: str) -> DataFrame:
     return rows.groupBy(id_column).agg(F.min_by(everything, order).alias("_r")).select("_r.*")
 
 
+def _field(rows: str, name: str) -> Column:
+    return F.transform(rows, lambda r: r[name]).alias(name)
+
+
 def lists(rows: DataFrame, keys: list[str], order: str, *columns: str) -> DataFrame:
     """Columns of each group as arrays in order."""
     collected = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *(F.col(c).alias(c) for c in columns))))
-    return rows.groupBy(*keys).agg(collected.alias("_r")).select(*keys, *(F.transform("_r", lambda r, c=c: r[c]).alias(c) for c in columns))
+    return rows.groupBy(*keys).agg(collected.alias("_r")).select(*keys, *(_field("_r", c) for c in columns))
 
 
 def hit_coverage(rows: DataFrame, fallback: str = "fallback") -> DataFrame:

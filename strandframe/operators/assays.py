@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60, key
-from ..functions.sequences import RESIDUES, binary_label, letters, mutations
+from ..functions.sequences import RESIDUES, binary_label, let, mutations, total
 from .curriculum import folds as dealt_folds
 from .inference import resamples
 from .metrics import assay_mcc, hierarchy, ndcg, roc_auc, spearman, top_recall
@@ -166,10 +166,8 @@ def draw_units(assays: DataFrame, times: int, seed: str) -> DataFrame:
 
 def composition_features(sequence: Column) -> Column:
     """Shares of the 20 residues; zeros where there is none."""
-    c = letters(sequence)
-    counts = F.array(*(F.size(F.filter(c, lambda x, r=r: x == r)).cast("double") for r in RESIDUES))
-    total = F.greatest(F.lit(1.0), F.aggregate(counts, F.lit(0.0), lambda a, x: a + x))
-    return F.transform(counts, lambda x: x / total)
+    counts = F.array(*((F.length(sequence) - F.length(F.translate(sequence, r, ""))).cast("double") for r in RESIDUES))
+    return let(counts, lambda c: let(F.greatest(F.lit(1.0), total(c)), lambda n: F.transform(c, lambda x: x / n)))
 
 
 def ridge_out_of_fold(rows: DataFrame, group: str, identity: str, features: str, label: str, fold: str, penalty: float = 1.0) -> DataFrame:

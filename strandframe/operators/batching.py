@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h60, key, uniform
-from ..functions.sequences import log_softmax
+from ..functions.sequences import let, log_softmax
 from .curriculum import pack_batches
 from .ranges import numbered
 
@@ -40,30 +40,32 @@ def corruption_rate(identity: Column, seed: str, kind: str = "fixed", rate: floa
         return F.lit(float(rate)) * (1 - F.cos(t * math.pi / 2))
     if kind == "beta":
         q = beta_quantiles(rate * concentration, (1 - rate) * concentration)
-        table, place = F.array(*map(F.lit, q)), t * (len(q) - 1)
-        low = F.floor(place).cast("int")
-        return F.get(table, low) + (F.get(table, low + 1) - F.get(table, low)) * (place - low)
+        between = lambda place, low: F.get(F.array(*map(F.lit, q)), low) * (1 - place + low) + F.get(F.array(*map(F.lit, q)), low + 1) * (place - low)
+        return let(t * (len(q) - 1), lambda place: between(place, F.floor(place).cast("int")))
     raise ValueError(f"no such masking: {kind}")
 
 
 def corrupted(table: DataFrame, identity: str, ids: str, mask_id: int, special: list[int], seed: str, **rate) -> DataFrame:
     """table with input_ids (masked) and labels (IGNORED where not masked). Special ids are never masked; of a sequence that has others, at least one is."""
     who = F.col(identity).cast("string")
-    out = table.withColumn("_rate", corruption_rate(F.col(identity), seed, **rate))
-    places = F.transform(ids, lambda x, i: F.struct(i.alias("i"), (~x.isin(*special) if special else F.lit(True)).alias("free"), (uniform(F.concat_ws("|", F.lit(seed), who, i.cast("string"))) < F.col("_rate")).alias("hit")))
-    out = out.withColumn("_p", places).withColumn("_free", F.transform(F.filter("_p", lambda p: p["free"]), lambda p: p["i"]))
+    marked = lambda r: F.transform(ids, lambda x, i: F.struct(i.alias("i"), (~x.isin(*special) if special else F.lit(True)).alias("free"), (uniform(F.concat_ws("|", F.lit(seed), who, i.cast("string"))) < r).alias("hit")))
+    out = table.withColumn("_p", let(corruption_rate(F.col(identity), seed, **rate), marked)).withColumn("_free", F.transform(F.filter("_p", lambda p: p["free"]), lambda p: p["i"]))
     hits = F.transform(F.filter("_p", lambda p: p["free"] & p["hit"]), lambda p: p["i"])
     one = F.when(F.size("_free") > 0, F.array(F.get("_free", (h60(key(seed, "one", F.col(identity))) % F.size("_free")).cast("int")))).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("_hits", hits).withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(one))
     masked = lambda then, other: F.transform(ids, lambda x, i: F.when(F.array_contains("_hits", i), then(x)).otherwise(other(x)))
     out = out.withColumn("input_ids", masked(lambda x: F.lit(mask_id), lambda x: x)).withColumn("labels", masked(lambda x: x, lambda x: F.lit(IGNORED)))
-    return out.drop("_rate", "_p", "_free", "_hits")
+    return out.drop("_p", "_free", "_hits")
+
+
+def _field(rows: str, name: str) -> Column:
+    return F.transform(rows, lambda r: r[name]).alias(name)
 
 
 def gathered(table: DataFrame, batch: str, order: str, *columns: str) -> DataFrame:
     """One row a batch with the columns of its rows as arrays in order."""
     rows = F.array_sort(F.collect_list(F.struct(order, *(c for c in columns if c != order))))  # one batch
-    return table.groupBy(batch).agg(rows.alias("_r")).select(batch, *(F.transform("_r", lambda r, c=c: r[c]).alias(c) for c in columns))
+    return table.groupBy(batch).agg(rows.alias("_r")).select(batch, *(_field("_r", c) for c in columns))
 
 
 def packed(table: DataFrame, batch: str, order: str, ids: str, pad_id: int = 0, multiple: int = 1, labels: str | None = None) -> DataFrame:
@@ -171,13 +173,15 @@ def position_ids(ids: Column) -> Column:
 
 def scrambled(ids: Column, special: list[int], identity: Column, seed: str) -> Column:
     """Ids with all but the special ones and the first other one in hash order; those stay where they are."""
-    marked = F.transform(ids, lambda x, i: F.struct(i.alias("i"), x.alias("x"), (~x.isin(*special) if special else F.lit(True)).alias("free")))
-    free = F.slice(F.filter(marked, lambda m: m["free"]), 2, 1 << 30)
-    order = F.array_sort(F.transform(free, lambda m: F.struct(h60(F.concat_ws("|", F.lit(seed), identity.cast("string"), m["i"].cast("string"))).alias("h"), m["x"].alias("x"))))
-    moved = F.zip_with(free, order, lambda m, o: F.struct(m["i"].alias("i"), o["x"].alias("x")))
-    first = F.slice(F.filter(marked, lambda m: m["free"]), 1, 1)
-    fixed = F.transform(F.concat(F.filter(marked, lambda m: ~m["free"]), first), lambda m: F.struct(m["i"].alias("i"), m["x"].alias("x")))
-    return F.transform(F.array_sort(F.concat(fixed, moved)), lambda m: m["x"])
+    def moved(marked: Column) -> Column:
+        free = F.filter(marked, lambda m: m["free"])
+        rest = F.slice(free, 2, 1 << 30)
+        keyed = F.transform(rest, lambda m: F.struct(h60(F.concat_ws("|", F.lit(seed), identity.cast("string"), m["i"].cast("string"))).alias("h"), m["x"].alias("x")))
+        dealt = F.zip_with(rest, F.array_sort(keyed), lambda m, o: F.struct(m["i"].alias("i"), o["x"].alias("x")))
+        fixed = F.transform(F.concat(F.filter(marked, lambda m: ~m["free"]), F.slice(free, 1, 1)), lambda m: F.struct(m["i"].alias("i"), m["x"].alias("x")))
+        return F.transform(F.array_sort(F.concat(fixed, dealt)), lambda m: m["x"])
+
+    return let(F.transform(ids, lambda x, i: F.struct(i.alias("i"), x.alias("x"), (~x.isin(*special) if special else F.lit(True)).alias("free"))), moved)
 
 
 def decoded(ids: Column, vocabulary: dict[str, int], special: list[int]) -> Column:

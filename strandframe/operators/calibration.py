@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import RESIDUES, divergence, letters, log_softmax, mask_bit, window_start
+from ..functions.sequences import RESIDUES, divergence, let, letters, log_softmax, mask_bit, total, window_start
 from .batching import argmax
 
 #: Bounds of the temperature, strata and bins of sites, residues of a window.
@@ -20,10 +20,6 @@ COHORTS = ("t", "nt", "high_nt")
 GRID = 16
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
-
-
 def site_rows(table: DataFrame, id_column: str, sequence: str, sites: str, window: int = WINDOW, mask: str = "?") -> DataFrame:
     """A row for each site (struct with `position`, from 0): its window with the site masked, id as id:position and the masked place."""
     c = letters(F.col(sequence))
@@ -35,14 +31,13 @@ def site_rows(table: DataFrame, id_column: str, sequence: str, sites: str, windo
 
 
 def normalised(profile: Column) -> Column:
-    total = _total(profile)
-    return F.transform(profile, lambda x: x.cast("double") / total)
+    return let(total(profile), lambda n: F.transform(profile, lambda x: x.cast("double") / n))
 
 
 def _slope(beta: Column, profile: Column, logits: Column) -> Column:
     """Derivative, by the inverse temperature, of the divergence of a site."""
-    logs = log_softmax(F.transform(logits, lambda x: x * beta))
-    return _total(F.zip_with(logs, logits, lambda q, x: F.exp(q) * x)) - _total(F.zip_with(profile, logits, lambda p, x: p * x))
+    logs = let(F.transform(logits, lambda x: x * beta), log_softmax)
+    return total(F.zip_with(logs, logits, lambda q, x: F.exp(q) * x)) - total(F.zip_with(profile, logits, lambda p, x: p * x))
 
 
 def temperatures(sites: DataFrame, bounds: tuple[float, float] = BOUNDS, rounds: int = 8) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import RESIDUES, letters
+from ..functions.sequences import RESIDUES, let, letters
 from .metrics import roc_auc
 from .tables import duplicate_keys, inconsistent, require
 
@@ -24,14 +24,12 @@ STATUSES = ("missing_labels", "no_retained_members", "no_eligible_pairs", "scora
 
 def retained(sequence: Column, alphabet: str = RESIDUES) -> Column:
     """Places (from 0) of canonical residues."""
-    c = letters(sequence)
-    return F.filter(F.transform(c, lambda x, i: F.when(x.isin(*alphabet), i)), lambda i: i.isNotNull())
+    return F.array_compact(F.transform(letters(sequence), lambda x, i: F.when(x.isin(*alphabet), i)))
 
 
 def inverse_places(sequence: Column, alphabet: str = RESIDUES) -> Column:
     """Each residue's place among the canonical ones; -1 for those that are left out."""
-    kept = retained(sequence, alphabet)
-    return F.transform(letters(sequence), lambda _, i: F.coalesce(F.nullif(F.array_position(kept, i), F.lit(0)) - 1, F.lit(-1)).cast("int"))
+    return let(retained(sequence, alphabet), lambda kept: F.transform(letters(sequence), lambda _, i: (F.array_position(kept, i) - 1).cast("int")))
 
 
 def token_places(sequence: Column, prefix: int = 1, alphabet: str = RESIDUES) -> Column:
@@ -83,7 +81,7 @@ def predictions(units: DataFrame, scores: DataFrame, unit: str = "id", least: in
     """
     kept = F.array_intersect(F.coalesce("valid_positions", retained(F.col("sequence"))), retained(F.col("sequence")))
     rows = units.select(unit, kept.alias("p"), "positive_pairs", "labels_available")
-    made = F.flatten(F.transform("p", lambda i: F.transform(F.filter("p", lambda j: j - i >= least), lambda j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))))
+    made = let(F.col("p"), lambda p: F.flatten(F.transform(p, lambda i: F.transform(F.filter(p, lambda j: j - i >= least), lambda j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))))))
     rows = rows.withColumn("pairs", made)
     status = F.when(~F.col("labels_available"), STATUSES[0]).when(F.size("p") == 0, STATUSES[1]).when(F.size("pairs") == 0, STATUSES[2]).otherwise(STATUSES[3])
     rows = rows.withColumn("status", status).withColumn("length", F.size("p"))

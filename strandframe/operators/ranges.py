@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sampled rows for each range, and bounds that are compared at a time.
-SAMPLE_ROWS, STRIDE = 64, 32
+from ..functions.sequences import let
+
+#: Sampled rows for each range, bounds that are compared at a time, and rows that are worth a range.
+SAMPLE_ROWS, STRIDE, RANGE_ROWS = 64, 32, 50_000
 
 
 def _bounds(df: DataFrame, order: list[str], parts: int) -> list[tuple]:
     n = df.count()
+    parts = min(parts, -(-n // RANGE_ROWS))
+    if parts < 2:
+        return []
     keep = max(1, n // (parts * SAMPLE_ROWS))
     drawn = df.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(keep)) == 0).distinct() if keep > 1 else df.select(*order).distinct()
     # about SAMPLE_ROWS x parts values; a cap far beyond that guards against a hash that does not spread
@@ -25,30 +30,37 @@ def _bounds(df: DataFrame, order: list[str], parts: int) -> list[tuple]:
 
 def ranged(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
     """Adds a row's range (from 0) in the ascending order of the columns, nulls first."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _ranged(df, order, name, _bounds(df, order, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _ranged(df: DataFrame, order: list[str], name: str, bounds: list[tuple]) -> DataFrame:
     kinds = [df.schema[c].dataType for c in order]
-    bounds = _bounds(df, order, parts)
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    own = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
     literal = lambda b: F.struct(*(F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(b, kinds, strict=True))))
-    below = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.when(x <= own, 1).otherwise(0))
-    every = F.array(*map(literal, bounds))
-    if len(bounds) <= STRIDE:
-        return df.withColumn(name, below(every))
-    coarse = below(F.array(*map(literal, bounds[STRIDE - 1 :: STRIDE])))
-    return df.withColumn(name, coarse).withColumn(name, F.col(name) * STRIDE + below(F.slice(every, F.col(name) * STRIDE + 1, STRIDE)))
-
-
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
-    """Adds, for each name, the sum of its column over the rows of the same keys that come no later in the order. Rows that are equal in it get one sum."""
-    dealt = ranged(df, [*keys, *order], "_range", parts)
+    every, coarse = F.array(*map(literal, bounds)), F.array(*map(literal, bounds[STRIDE - 1 :: STRIDE])) if len(bounds) >= STRIDE else F.array()
+    below = lambda own, b: F.aggregate(b, F.lit(0), lambda n, x: n + F.when(x <= own, 1).otherwise(0))
+    own = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    if len(bounds) < STRIDE:
+        return df.withColumn(name, let(own, lambda k: below(k, every)))
+    return df.withColumn(name, let(own, lambda k: let(below(k, coarse), lambda c: c * STRIDE + below(k, F.slice(every, c * STRIDE + 1, STRIDE)))))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None, apart: bool = False) -> DataFrame:
+    """Adds, for each name, the sum of its column over the rows of the same keys that come no later in the order. Rows that are equal in it get one sum, or, apart, follow each other in any order."""
+    bounds = _bounds(df, [*keys, *order], parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not bounds:  # one range
+        whole = Window.partitionBy(*keys or [F.lit(0)]).orderBy(*order)
+        whole = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow) if apart else whole
+        return df.select("*", *(F.sum(value).over(whole).alias(name) for name, value in sums.items()))
+    dealt = _ranged(df, [*keys, *order], "_range", bounds)
     for name, value in sums.items():
         dealt = dealt.withColumn(f"_{name}", value)
     totals = dealt.groupBy("_range", *keys).agg(*(F.sum(f"_{n}").alias(f"_{n}_sum") for n in sums))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("_range").alias("_its"), *(F.col(k).alias(f"_{k}_key") for k in keys), *(F.coalesce(F.sum(f"_{n}_sum").over(before), F.lit(0)).alias(f"_{n}_before") for n in sums))
     within = Window.partitionBy("_range", *keys).orderBy(*order)
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow) if apart else within
     for name in sums:
         dealt = dealt.withColumn(f"_{name}", F.sum(f"_{name}").over(within))
     same = F.col("_range") == F.col("_its")
@@ -59,8 +71,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
 
 
 def numbered(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """Adds a gapless number from 0 in the given order, which has to tell all rows apart."""
-    out = running(df, [], order, {"_upto": F.lit(1)}, parts)
+    """Adds a gapless number from 0 in the given order; rows that are equal in it follow each other in any order."""
+    out = running(df, [], order, {"_upto": F.lit(1)}, parts, apart=True)
     return out.withColumn("_upto", (F.col("_upto") - 1).cast("long")).withColumnRenamed("_upto", name)
 
 

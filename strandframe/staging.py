@@ -76,7 +76,7 @@ class Staging:
 
 def hot_above(spark: SparkSession, rows: int) -> int:
     """Rows of one key beyond which it is hot. So there are at most four hot keys a shuffle partition."""
-    return max(1000, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(64, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: list[str], hot: int) -> DataFrame:
