@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import need, slices, small_batches
 
 SAMPLE_DOCS, WORD_BUCKETS, GRADES = 12_000, 1 << 18, 3
-#: Measures of a text's form, each dealt into BINS; their features follow those of the words.
-FORM, BINS = 8, 24
+#: Codes of ASCII marks, and measures of a text's form, one for each mark and six more, each dealt into BINS; their
+#: features follow those of the words.
+MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
+FORM, BINS = 6 + len(MARKS), 24
 BUCKETS = WORD_BUCKETS + FORM * BINS
 #: A feature has to occur in so many sampled documents, and its share among the documents of some grade has to differ
 #: from that among the others by so many standard errors.
@@ -68,16 +70,14 @@ class Featurizer:
 
     @staticmethod
     def form(text: bytes, words: list[bytes], distinct: int) -> list[float]:
-        """Measures from 0 to 1: repeats of the word before, repeated words, capitals, marks, digits, bars, length, lines."""
+        """Measures from 0 to 1, by the logarithm where they are counts a thousand words or bytes: repeats of the word before, repeated words, capitals, digits, line feeds, the number of words, and each mark."""
         codes = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
         n, count = max(len(text), 1), max(len(words), 1)
+        scale = lambda x: np.minimum(1.0, np.log1p(x) / 8)
         repeats = sum(map(bytes.__eq__, words, words[1:]))
-        marks = int(codes[33:48].sum() + codes[58:65].sum() + codes[91:97].sum() + codes[123:127].sum() - codes[44] - codes[46] - codes[39] - codes[45] - codes[124])
-        scale = lambda x: min(1.0, float(np.log1p(x)) / 8)
-        return [
-            scale(max(0, repeats - count * 0.03)), 1 - (distinct / count) ** 0.5, min(1.0, 4 * float(codes[65:91].sum()) / n), scale(marks * 1000 / n), min(1.0, 10 * float(codes[48:58].sum()) / n),
-            scale(float(codes[124])), min(1.0, float(np.log1p(count)) / 12), min(1.0, float(codes[10] + 1) / count * 4),
-        ]
+        found = np.array([codes[65:91].sum(), codes[48:58].sum(), codes[10], *codes[MARKS]]) * 1000 / n
+        capitals, digits, lines, *marks = scale(found).tolist()
+        return [float(scale(repeats * 1000 / count)), 1 - (distinct / count) ** 0.5, capitals, digits, lines, min(1.0, float(np.log1p(count)) / 12), *marks]
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -63,12 +63,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media_digest, op2_simhash, op3_nearest, op4_line_dedup, op5_language, op6_shards, op7_bpe, op8_quality, op9_packing, op10_licenses, pipeline)
+    own = (op1_media_digest, op2_simhash, op3_nearest, op4_line_dedup, op5_language, op6_shards, op7_bpe, op8_quality, op9_packing, op10_licenses)
     return {f.__name__: f for f in own}
