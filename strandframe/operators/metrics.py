@@ -33,13 +33,18 @@ def classification(counts: DataFrame, keys: list[str], classes: list | None = No
     return out.select(*keys, ratio(F.col("c"), F.col("s")).alias("accuracy"), *(f"{x}_{y}" for x in ("precision", "recall", "f1") for y in ("macro", "weighted")), mcc.alias("mcc"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation; null where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def regression(table: DataFrame, keys: list[str], label: str, prediction: str) -> DataFrame:
     """mse, mae, r2 and Pearson correlation; the latter two need two rows and sides that vary."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     e = y - p
     many = (F.count("*") >= 2) & (F.var_pop(y) > 0)
     r2 = F.when(many, 1 - F.sum(e * e) / F.when(F.var_pop(y) > 0, F.var_pop(y) * F.count("*")))
-    return table.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), r2.alias("r2"), F.when(many & (F.var_pop(p) > 0), F.corr(y, p)).alias("pearson"))
+    return table.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), r2.alias("r2"), F.when(many, correlation(y, p)).alias("pearson"))
 
 
 def average_ranks(table: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -54,7 +59,7 @@ def average_ranks(table: DataFrame, keys: list[str], value: str, name: str) -> D
 
 def spearman(table: DataFrame, keys: list[str], label: str, prediction: str) -> DataFrame:
     ranked = average_ranks(average_ranks(table, keys, label, "_y"), keys, prediction, "_p")
-    return ranked.groupBy(*keys).agg(F.when((F.var_pop("_y") > 0) & (F.var_pop("_p") > 0), F.corr("_y", "_p")).alias("spearman"))
+    return ranked.groupBy(*keys).agg(correlation(F.col("_y"), F.col("_p")).alias("spearman"))
 
 
 def _by_score(table: DataFrame, keys: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
