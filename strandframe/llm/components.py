@@ -14,17 +14,26 @@ from pyspark.sql import functions as F
 from .common import Staging, hot_above, join_hot
 
 
-def _large(links: DataFrame, hot: int) -> DataFrame:
+def _both(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _joined(left: DataFrame, least: DataFrame, hot: int | None) -> DataFrame:
+    """left with the smallest neighbour of its a; hot: whether there are hubs, and from how many links on."""
+    return left.join(least.drop("n"), "a") if hot is None else join_hot(left, least, ["a"], hot)
+
+
+def _large(links: DataFrame, hot: int | None) -> DataFrame:
     """Larger neighbours of every node hang on its smallest neighbour (or itself)."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _both(links)
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return join_hot(both.filter("b > a"), least, ["a"], hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _joined(both.filter("b > a"), least, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(links: DataFrame, hot: int) -> DataFrame:
+def _small(links: DataFrame, hot: int | None) -> DataFrame:
     """Smaller neighbours of every node, and it, hang on the smallest of them. links: a > b."""
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = join_hot(links, least, ["a"], hot).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _joined(links, least, hot).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -33,12 +42,14 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
     now = staging.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     seen = None
     for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        # how many links there are, what they are, and how many one node has: of all, and of those to smaller ones
+        each = _both(now).groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("a") > F.col("b")).alias("up"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        total, most, most_up, mark = each.agg(F.sum("n"), F.max("n"), F.max("up"), F.sum("h")).first()
+        if not total or (total, mark) == seen:
             break
-        seen = mark
-        hot = hot_above(links.sparkSession, 2 * mark[0])
-        nxt = staging.write(_small(_large(now, hot), hot), "links")
+        seen, hot = (total, mark), hot_above(links.sparkSession, total)
+        # hanging links on smaller nodes gives no node more links to smaller ones than it had
+        nxt = staging.write(_small(_large(now, hot if most > hot else None), hot if most_up > hot else None), "links")
         staging.drop(now)
         now = nxt
     else:

@@ -44,25 +44,33 @@ def learn(docs: DataFrame, usable: Column | None = None) -> dict[str, bytes]:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows if usable is None else rows.filter(usable)
     place = F.xxhash64(F.lit(11), "text")
-    marked = rows.select("lang", "text", place.alias("place"), F.octet_length("text").alias("size"))
+    marked = rows.select("lang", "text", place.alias("place"), F.octet_length(F.lower("text")).alias("size"))
     # a text is one however often it occurs, and texts that no dictionary can hold are left for languages with no others
     fits = F.col("size") <= DICTIONARY_BYTES
     found = marked.select("lang", "place", fits.alias("fits")).distinct().groupBy("lang").agg(F.count_if("fits").alias("n")).collect()  # a row for each language
-    out: dict[str, list[bytes]] = {r.lang: [] for r in found}
-    # twice as many as wanted by a threshold on the hash, then the wanted ones with the smallest hashes
-    share = {r.lang: int(min(1.0, 2 * SAMPLE_TEXTS / r.n) * ((1 << 30) - 1)) for r in found if r.n}
-    if share:
-        limit = F.create_map(*(F.lit(x) for item in share.items() for x in item))
-        some = marked.filter(fits & (F.pmod("place", F.lit(1 << 30)) <= limit[F.col("lang")])).dropDuplicates(["lang", "place"])
-        ranked = some.withColumn("rank", F.expr("row_number() over (partition by lang order by pmod(place, 1 << 30), place)")).filter(F.col("rank") <= SAMPLE_TEXTS)
-        for r in ranked.orderBy("lang", "rank").collect():
-            text = r.text.lower().encode()
-            if sum(map(len, out[r.lang])) + len(out[r.lang]) + len(text) <= DICTIONARY_BYTES:
-                out[r.lang].append(text)
-    if long := [lang for lang, texts in out.items() if not texts]:
+    if not found:
+        return {}
+    # twice as many as wanted by a threshold on the hash; of these the wanted ones with the smallest hashes, as they fit
+    share = {r.lang: int(min(1.0, 2 * SAMPLE_TEXTS / r.n) * ((1 << 30) - 1)) if r.n else -1 for r in found}
+    limit = F.create_map(*(F.lit(x) for item in share.items() for x in item))
+    some = marked.filter(fits & (F.pmod("place", F.lit(1 << 30)) <= limit[F.col("lang")])).select("lang", "place", "size").distinct()
+    chosen: dict[str, list[int]] = {r.lang: [] for r in found}
+    room, seen = dict.fromkeys(chosen, DICTIONARY_BYTES), dict.fromkeys(chosen, 0)
+    for lang, at, size in sorted(map(tuple, some.collect()), key=lambda r: (r[0], r[1] % (1 << 30), r[1])):
+        if seen[lang] < SAMPLE_TEXTS and size <= room[lang]:
+            chosen[lang].append(at)
+            room[lang] -= size + 1  # and a line feed
+        seen[lang] += 1
+    wanted = F.lit(False)
+    for lang, places in chosen.items():
+        if places:
+            wanted |= (F.col("lang") == lang) & F.col("place").isin(places)
+    texts = {(r.lang, r.place): r.text for r in marked.filter(wanted).groupBy("lang", "place").agg(F.first("text").alias("text")).collect()}  # a dictionary each
+    out = {lang: [texts[lang, at].lower().encode() for at in places] for lang, places in chosen.items()}
+    if long := [lang for lang, places in chosen.items() if not places]:
         for r in marked.filter(F.col("lang").isin(long)).groupBy("lang").agg(F.min(F.struct("size", "place", "text")).alias("x")).collect():
             out[r.lang].append(r.x.text.lower().encode())
-    return {lang: b"\n".join(reversed(texts)) for lang, texts in sorted(out.items())}
+    return {lang: b"\n".join(reversed(parts)) for lang, parts in sorted(out.items())}
 
 
 class Identifier:

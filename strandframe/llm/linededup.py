@@ -91,15 +91,16 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool, spare
         else:
             counts = np.add.reduceat(documents(rows).astype(np.int64), starts)
             gone = np.repeat(counts >= min_docs, sizes)
-            if spare:  # the first occurrence, which repeated rows of its document have too
-                gone &= np.any([r != np.repeat(r[starts], sizes) for r in rows[2:]], axis=0)
+        if first or spare:  # the first occurrence, which repeated rows of its document have too, stays
+            gone &= np.any([r != np.repeat(r[starts], sizes) for r in rows[2:]], axis=0)
         return emit([r[gone] for r in rows], False) if gone.any() else None
 
     def open_group() -> Iterator[pa.RecordBatch]:
         rows = [np.concatenate(x) for x in zip(*kept, strict=True)]
         if first:  # later rows of the key in this task go in any case; its first one depends on the task before
-            if len(rows[0]) > 1:
-                yield emit([r[1:] for r in rows], False)
+            later = np.any([r != r[0] for r in rows[2:]], axis=0)
+            if later.any():
+                yield emit([r[later] for r in rows], False)
             rows = [r[:1] for r in rows]
         yield emit(rows, True)
 
@@ -109,7 +110,7 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, first: bool, spare
         rows = [np.concatenate(x) for x in zip(*kept, strict=True)]
         stay = np.zeros(len(rows[0]), bool)
         if first:
-            stay[0] = True
+            stay = np.all([r == r[0] for r in rows[2:]], axis=0)
         elif not seen_first:  # open whatever comes
             stay[-1] = True
         else:
