@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import Staging, hot_above, importable, join_hot
+from ..staging import Staging, hot_above, join_hot, small_batches
 
 __all__ = ["Staging", "hot_above", "join_hot", "need", "slices", "small_batches", "text_key"]
 
 #: Text bytes that a Python worker handles at a time, whatever the size of its Arrow batches.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch that carries whole texts.
-TEXT_ROWS = 512
 
 
 def need(df: DataFrame, *names: str) -> None:
@@ -24,14 +22,6 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Batches of whole texts hold few rows, so that a run of very long texts does not fill a worker's memory."""
-    importable(spark)
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS)),):
-        if spark.conf.get(key, None) in (None, "10000"):
-            spark.conf.set(key, value)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each piece of a batch with its texts as UTF-8 (null: empty); pieces hold about SLICE_BYTES, or one row."""
     for batch in batches:

@@ -165,6 +165,31 @@ def test_one_frequent_kmer_is_no_quadratic_work(spark):
     assert clustering.links(df, 0.9).count() == 1499
 
 
+def test_distances_are_counted_once_for_all_identities(spark):
+    rng = random.Random(8)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    texts = ["", "é", *("".join(rng.choice("abé\u4e2d\U0001f600") for _ in range(rng.choice([1, 31, 64, 200]))) for _ in range(20))]
+    assert all(clustering.edit_distance(a, b) == plain(a, b) for a in texts for b in texts)
+    base = "".join(rng.choice("ACDEFGHIKL") for _ in range(90))
+    rows = [(f"s{i:02d}", base[: 90 - i % 5] + "M" * (i % 9)) for i in range(30)]
+    df, text = spark.createDataFrame(rows, "sequence_id string, sequence string"), dict(rows)
+    pairs = clustering.Pairs(df)
+    whole = pairs.of().collect()
+    assert whole and all(r.distance == plain(text[r.centre], text[r.member]) for r in whole)
+    part = df.filter("sequence_id >= 's10'")
+    ends = lambda t: sorted((r.centre, r.member) for r in t.collect())
+    assert ends(clustering.alike(pairs.of(part), 0.95)) == ends(clustering.links(part, 0.95))
+    assert pairs.known.count() == pairs.known.select("centre", "member").distinct().count()
+
+
 def test_settings(tmp_path):
     (tmp_path / "a.yaml").write_text("name: x\nread: {source: uniref, path: p}\noutput: o\n")
     (tmp_path / "b.yaml").write_text("read: {path: q}\ncluster: {thresholds: [0.9]}\n")
