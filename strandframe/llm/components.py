@@ -2,8 +2,8 @@
 
 Both steps keep every component connected and hang its nodes on smaller ones, until each hangs on the smallest. A node
 with very many links is only ever aggregated to its smallest neighbour, which is then sent to its links where they are;
-no list of neighbours is made. Every round is a written table, so neither lineage nor a lost executor costs more than a
-round.
+no list of neighbours is made. Every step is a written table, so neither lineage nor a lost executor costs more than a
+step, and no plan holds another step's plan over and over: the driver plans a step's few joins only.
 """
 
 from __future__ import annotations
@@ -23,16 +23,17 @@ def _joined(left: DataFrame, least: DataFrame, hot: int | None) -> DataFrame:
     return left.join(least.drop("n"), "a") if hot is None else join_hot(left, least, ["a"], hot)
 
 
-def _large(links: DataFrame, hot: int | None) -> DataFrame:
+def _large(links: DataFrame, hot: int | None, staging: Staging) -> DataFrame:
     """Larger neighbours of every node hang on its smallest neighbour (or itself)."""
     both = _both(links)
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    least = least if hot is None else staging.write(least, "least")  # read for hubs and for the rest
     return _joined(both.filter("b > a"), least, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(links: DataFrame, hot: int | None) -> DataFrame:
+def _small(links: DataFrame, hot: int | None, staging: Staging) -> DataFrame:
     """Smaller neighbours of every node, and it, hang on the smallest of them. links: a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = staging.write(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
     moved = _joined(links, least, hot).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -49,8 +50,10 @@ def components(links: DataFrame, staging: Staging, rounds: int = 60) -> DataFram
             break
         seen, hot = (total, mark), hot_above(links.sparkSession, total)
         # hanging links on smaller nodes gives no node more links to smaller ones than it had
-        nxt = staging.write(_small(_large(now, hot if most > hot else None), hot if most_up > hot else None), "links")
+        large = staging.write(_large(now, hot if most > hot else None, staging), "links")
+        nxt = staging.write(_small(large, hot if most_up > hot else None, staging), "links")
         staging.drop(now)
+        staging.drop(large)
         now = nxt
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

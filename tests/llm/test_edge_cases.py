@@ -208,3 +208,16 @@ def test_query_functions(spark, tmp_path):
     assert licenses.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] and licenses.count() == len(rows)
     rated = queries.op8_quality(spark, d).collect()
     assert len(rated) == len(rows) and all(0 <= r.expected_grade <= 2 and r.kept == (r.p_top >= quality.SELECT) for r in rated)
+
+
+def test_a_round_of_components_with_hubs_is_no_large_plan(spark):
+    joins = []
+
+    class Counted(Staging):
+        def write(self, df, name):
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+            return super().write(df, name)
+
+    star = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(1, 20)]
+    roots = components.components(spark.createDataFrame(star, "a long, b long"), Counted(spark, "t")).collect()
+    assert len(roots) == 419 and {r.root for r in roots} == {0} and 0 < max(joins) <= 4
